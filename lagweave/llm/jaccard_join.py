@@ -25,10 +25,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagweave.llm.shared import U64, list_array, binary_array, mix, saved, set_hashes, shingle_sets, slices
+from lagweave.llm.shared import U64, Sieve, list_array, binary_array, mix, saved, set_hashes, shingle_sets, slices
 from lagweave.llm.similar import resolve
 
 
@@ -141,41 +142,55 @@ def keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return saved(rows.mapInArrow(run, "doc_id long, text_hash long, n long, node long, keys array<long>"), "keyed")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """A written table (node, items) of the wanted nodes, read again from one text each.
+def listed(table: DataFrame, column: str, node: str) -> DataFrame:
+    """A written table (key, node), distinct: the keys of arrays in a column that two nodes share."""
+    rows = table.select(F.col(node).alias("node"), F.explode(column).alias("key"))
+    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    shared = saved(shared, "shared")
+    sieve = Sieve(shared, "key")
 
-    wanted: node, text_hash (of one text that has the node).
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, size = batch.column(1).flatten(), pa.compute.list_value_length(batch.column(1)).fill_null(0)
+            nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size.to_numpy(zero_copy_only=False))
+            keys = keys.to_numpy()
+            kept = sieve(keys)
+            yield pa.RecordBatch.from_pydict({"key": keys[kept], "node": nodes[kept]})
+
+    near = table.select(node, column).where(F.col(node).isNotNull()).mapInArrow(run, "key long, node long")
+    return saved(near.join(shared, "key").distinct(), "lists")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """A written table (node, items) of the wanted nodes, from the texts read again."""
+    sieve = Sieve(wanted, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            values, offsets, _ = shingle_sets(batch.column(1), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(set_hashes(values, offsets)), binary_array(values, offsets * 8)], ["want", "node", "items"])
+            values, offsets, _ = shingle_sets(batch.column(0), words)
+            node = set_hashes(values, offsets)
+            out = pa.RecordBatch.from_arrays([pa.array(node), binary_array(values, offsets * 8)], ["node", "items"])
+            yield out.filter(pa.array(sieve(node)))
 
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(wanted.withColumnRenamed("node", "want"), "text_hash").select("want", "text")
-    found = rows.mapInArrow(run, "want long, node long, items binary").where("want = node").drop("want")
-    return saved(found.groupBy("node").agg(F.first("items").alias("items")), "sets")
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, items binary")
+    return saved(found.join(wanted, "node").groupBy("node").agg(F.first("items").alias("items")), "sets")
 
 
 def joined(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """Joins documents whose sets of word n-grams have a Jaccard similarity of percent or more.
 
     Returns a row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by
-    links, its own included), text_hash, class_id (equal sets have equal classes). A null text
+    links, its own included), text_hash, class_id (equal sets have equal classes), group_id (equal
+    in a component). A null text
     counts as empty; empty sets link with nothing and keep their own doc_id. Texts with fewer words
     than a shingle have one shingle. Rows with a null doc_id take part and are never a component's
     id; a component of such rows only has a null id. Repeated rows are alike. Other columns of docs
     are ignored.
     """
     table = keyed(docs, words, percent)
-    lists = table.where("n > 0").select("node", F.explode("keys").alias("key"))
-    shared = lists.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    shared = saved(shared, "shared")
-    lists = saved(lists.join(shared, "key").distinct(), "lists")
-    wanted = table.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-    groups = resolve(lists, sets_of(docs, wanted, words), percent)
+    lists = listed(table.where("n > 0"), "keys", "node")
+    groups = resolve(lists, sets_of(docs, lists.select("node").distinct(), words), percent)
     rows = table.drop("keys").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("lowest"))
     out = rows.join(lowest, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", F.col("node").alias("class_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", F.col("node").alias("class_id"), F.col("component").alias("group_id"))

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -202,6 +202,50 @@ def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     ).cast(pa.binary())
 
 
+# --- sieves -----------------------------------------------------------------------------------
+
+
+class Sieve:
+    """A bitmap of fixed size, of hashes of some keys: lets all these keys through, and few others.
+
+    It keeps rows without a partner out of a shuffle, and has no say in any result: what passes is
+    joined. Its bits grow with the keys up to a bound (16 MB); beyond it more rows pass.
+    """
+
+    LEAST, MOST = 15, 27
+
+    def __init__(self, keys: DataFrame, column: str):
+        n = keys.count()
+        self.bits = min(self.MOST, max(self.LEAST, int(16 * n + 1).bit_length()))
+        slot = F.pmod(F.col(column), F.lit(1 << self.bits)) + 1  # buckets count from 1
+        rows = keys.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
+        table = np.zeros(1 << (self.bits - 3), np.uint8)
+        for b, m in rows:  # 4 KB each, at most 2**12 of them
+            table[(b - 1) * 4096 : b * 4096] = np.frombuffer(bytes(m), np.uint8)
+        self.table = keys.sparkSession.sparkContext.broadcast(table)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys.astype(np.int64) & ((1 << self.bits) - 1)
+        return (self.table.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+def parted(docs: DataFrame, mark: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """docs in two: rows whose mark (a hash) may be among the keys, and rows whose mark is not."""
+    sieve = Sieve(keys, column)
+    marked = docs.select(mark.alias("__mark"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)])
+    schema = ", ".join(f"__{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = batch.filter(pa.array(sieve(batch.column(0).to_numpy()) == wanted))
+                yield pa.RecordBatch.from_arrays(rows.columns[1:], rows.schema.names[1:])
+
+        return marked.mapInArrow(run, schema).select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+    return part(True), part(False)
+
+
 # --- components -----------------------------------------------------------------------------
 
 
