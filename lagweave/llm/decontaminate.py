@@ -133,8 +133,9 @@ def parts(benchmark: DataFrame, part_bytes: int) -> Iterator[tuple[list[str], li
         yield ids, texts
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, window: int = 8, part_bytes: int = 16 << 20) -> DataFrame:
-    """docs (doc_id, text; others are dropped) with n_words, hits and items.
+def marked(docs: DataFrame, benchmark: DataFrame, window: int = 8, part_bytes: int = 16 << 20, keep: bool = False) -> DataFrame:
+    """docs (doc_id, text; others are dropped) with n_words, hits and items; with keep, the columns
+    of docs follow as __0, __1 and so on.
 
     hits: bytes, a flag per word; items: the distinct ids (as strings) of benchmark items of which a
     window occurs. Words are runs of ASCII letters and digits and of all non-ASCII characters, after
@@ -144,7 +145,8 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = 8, part_bytes: i
     """
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
+                       F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"),
+                       *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns) if keep])
     schema, count = rows.schema, 0
     for count, (ids, texts) in enumerate(parts(benchmark, part_bytes), 1):
         part = context.broadcast(Part(ids, texts, window))
@@ -169,8 +171,8 @@ def search(batches: Iterator[pa.RecordBatch], part: Part) -> Iterator[pa.RecordB
         before = batch.column(4).to_pylist()
         items = [sorted({*(old or ()), *names[a:b]}) for old, a, b in zip(before, cuts[:-1], cuts[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(w.counts), binary_array(hits, w.first - w.first[0]), pa.array(items, pa.list_(pa.string()))],
-            ["doc_id", "text", "n_words", "hits", "items"])
+            [batch.column(0), batch.column(1), pa.array(w.counts), binary_array(hits, w.first - w.first[0]), pa.array(items, pa.list_(pa.string())), *batch.columns[5:]],
+            batch.schema.names)
 
 
 def digest(rows: DataFrame, least_items: int = 2) -> DataFrame:
@@ -185,3 +187,21 @@ def digest(rows: DataFrame, least_items: int = 2) -> DataFrame:
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return rows.select("doc_id", "n_words", "hits", "items").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2) -> DataFrame:
+    """The rows of docs, all columns, that are free of the benchmark: those with windows of
+    least_items items or more go, and those in which `window` words in a row are hit. What is as
+    short as to occur by chance, single windows of shorter items, lets a document stay."""
+    rows = marked(docs, benchmark, window, keep=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            span = b"\x01" * window
+            hits, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            free = [span not in h and len(x) < least_items for h, x in zip(hits, items, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[5:], batch.schema.names[5:]).filter(pa.array(free, pa.bool_()))
+
+    names = docs.columns
+    kinds = [f.dataType.simpleString() for f in docs.schema]
+    return rows.mapInArrow(run, ", ".join(f"__{i} {k}" for i, k in enumerate(kinds))).select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(names)])

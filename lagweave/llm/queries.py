@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lagweave.llm import decontaminate, jaccard_join, language, pieces, token_files
+from lagweave.llm import additive_search, decontaminate, html_text, jaccard_join, language, licence_scan, pieces, substring_dedup, token_files, url_trust
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,15 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op3_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return additive_search.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -26,20 +35,32 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scanned(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
+
+
+def op7_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judged(table(spark, sf_dir, "pages"), [url_trust.Rule.read(r) for r in URL_RULES]).drop("trust", "distrust")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_files": op1_token_files,
-    "op4_decontaminate": op4_decontaminate,
-    "op5_jaccard_join": op5_jaccard_join,
-    "op8_sentencepiece": op8_sentencepiece,
-    "op10_language": op10_language,
+    f.__name__: f
+    for f in (op1_token_files, op2_html_text, op3_additive_search, op4_decontaminate, op5_jaccard_join, op6_licence_scan, op7_url_trust, op8_sentencepiece, op9_substring_dedup, op10_language)
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
