@@ -90,10 +90,11 @@ def resolve(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     spark = lists.sparkSession
     pivot = lists.groupBy("key").agg(F.min("node").alias("a"))
-    star = lists.join(pivot, "key").where("node > a").select("a", F.col("node").alias("b")).distinct()
-    links = saved(checked(star, sets, percent), "links")
+    others = saved(lists.join(pivot, "key").where("node > a"), "others")
+    links = saved(checked(others.select("a", F.col("node").alias("b")).distinct(), sets, percent), "links")
     joined = saved(components(links), "joined")
-    labelled = lists.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    # The star has compared the smallest node with all others: it is out of what is still open.
+    labelled = others.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_ = (labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"),
                                          F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"))
              .where("lo < hi").groupBy("n", "content").agg(F.min("key").alias("key")).select("key", "n"))
