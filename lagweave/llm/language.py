@@ -18,12 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagweave.llm.shared import Words, byte_class, slices
+from lagweave.llm.shared import Words, byte_class, saved, slices
 
 BUCKETS = 1 << 15
 #: Words of letters: after lower-casing A-Z, the letters and all bytes of non-ASCII characters.
 LETTERS = byte_class(lambda c: 97 <= c <= 122 or c >= 128)
 UNKNOWN = "und"
+#: A table with a row per language is broadcast up to so many.
+FEW_LANGUAGES = 10_000
 
 
 ORDERS = (2, 3, 4)
@@ -80,7 +82,8 @@ def fit(labelled: DataFrame, documents_a_language: int = 400, smoothing: float =
     # A threshold takes about 1.5 times the documents wanted, so the exact choice sorts few rows.
     cut = rows.groupBy("lang").agg(F.count("*").alias("n"))
     cut = cut.select("lang", F.least(F.lit(1.0), F.lit(1.5 * documents_a_language) / F.col("n")).alias("share"))
-    near = rows.join(cut, "lang").where("(h / 9223372036854775807.0 + 1) / 2 <= share")
+    cut = saved(cut, "shares")
+    near = rows.join(F.broadcast(cut) if cut.count() <= FEW_LANGUAGES else cut, "lang").where("(h / 9223372036854775807.0 + 1) / 2 <= share")
     chosen = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= documents_a_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
