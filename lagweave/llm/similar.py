@@ -83,6 +83,24 @@ def spanning(pairs: Iterator[tuple[int, int]], label: dict[int, int]) -> list[tu
     return out
 
 
+def gathered(rows: DataFrame) -> DataFrame:
+    """Lists (key, node, component, n) that overlap become one list where that is no more work.
+
+    Lists of one cluster hold mostly the same nodes, whose sets would be sent with each of them.
+    Lists that a chain of common nodes joins are compared as one if the square of their nodes' number
+    is at most twice the sum of the lists' squares; else each stays.
+    """
+    first = rows.groupBy("key").agg(F.min("node").alias("b"))
+    chain = saved(components(rows.join(first, "key").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "whole"), "chains")
+    linked = saved(rows.join(chain, "node", "left").withColumn("whole", F.coalesce("whole", "node")), "chained")
+    apart = linked.groupBy("whole", "key").agg(F.first("n").alias("n")).groupBy("whole").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+    nodes = linked.select("whole", "node", "component").distinct()
+    size = nodes.groupBy("whole").agg(F.count("*").alias("size")).join(apart, "whole")
+    size = saved(size.withColumn("one", F.col("size").cast("double") * F.col("size") <= 2 * F.col("apart")), "sizes")
+    whole = nodes.join(size.where("one"), "whole").select(F.col("whole").alias("key"), "node", "component", F.col("size").alias("n"))
+    return whole.union(linked.join(size.where("not one"), "whole").select("key", "node", "component", "n"))
+
+
 def resolve(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the nodes that a chain of similar pairs joins; others do not appear.
 
@@ -98,16 +116,14 @@ def resolve(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     open_ = (labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"),
                                          F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"))
              .where("lo < hi").groupBy("n", "content").agg(F.min("key").alias("key")).select("key", "n"))
-    open_ = saved(open_, "open")
-    if open_.isEmpty():
+    rows = saved(labelled.join(open_, "key"), "open")
+    if rows.isEmpty():
         return joined
     # A node's block follows from its hash; blocks of a list have about BLOCK nodes each.
-    rows = labelled.join(open_, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    rows = gathered(rows).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long"))
     rows = rows.select("key", "node", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other"))
     rows = rows.select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    if rows.isEmpty():
-        return joined
     rows = rows.join(sets, "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
