@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lagweave.kernels import decompose as D
 from lagweave.kernels import forecast as P
@@ -77,6 +78,12 @@ class SSA:
         if self.method not in D.METHODS:
             raise ValueError(f"svd method {self.method!r} is not one of {D.METHODS}")
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"df": None}  # workers need the options alone
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+
     @property
     def _projected(self) -> bool:
         return any(not (isinstance(p, (str, int)) and D.BASES.get(p, p) == 0) for p in (self.column_projector, self.row_projector))
@@ -142,7 +149,7 @@ class SSA:
         df = self.df if df is None else df
         columns = list(dict.fromkeys([self.key, *([self.channel] if self.channel else []), *self.coords, self.value, *([self.mask] if self.mask else []), *extra]))
         kind = df.schema[self.key].dataType.simpleString()
-        names = [self.key, *(c.split()[0] for c in schema.split(", "))]
+        names = [self.key, *StructType.fromDDL(schema).names]
 
         def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
             key = pdf[self.key].iloc[0]

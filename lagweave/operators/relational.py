@@ -72,14 +72,14 @@ def hankel_weights(series: DataFrame, window: int) -> DataFrame:
 
 def complete_windows(series: DataFrame, window: int) -> DataFrame:
     """(series_id, j): begins of windows without a null. Absent rows count as nulls."""
-    cells = series.where("value is not null").select("series_id", (F.col("t") - F.explode(offsets(window))).alias("j"))
+    cells = series.where("value is not null").select("series_id", "t", F.explode(offsets(window)).alias("o")).select("series_id", (F.col("t") - F.col("o")).alias("j"))
     return cells.groupBy("series_id", "j").agg(F.count("*").alias("n")).where(F.col("n") == window).select("series_id", "j")
 
 
 def field_weights(series: DataFrame, window: int) -> DataFrame:
     """(series_id, t, w): how many complete windows cover each cell; 0 for those that none does."""
-    cover = complete_windows(series, window).select("series_id", (F.col("j") + F.explode(offsets(window))).alias("t"))
-    cover = cover.groupBy("series_id", "t").agg(F.count("*").alias("w"))
+    cover = complete_windows(series, window).select("series_id", "j", F.explode(offsets(window)).alias("o"))
+    cover = cover.select("series_id", (F.col("j") + F.col("o")).alias("t")).groupBy("series_id", "t").agg(F.count("*").alias("w"))
     return series.select("series_id", "t").join(cover, ["series_id", "t"], "left").select("series_id", "t", F.coalesce("w", F.lit(0)).cast("long").alias("w"))
 
 
@@ -160,7 +160,7 @@ def continued(series: DataFrame, coefficients: list[float], length: int) -> Data
     tail = last.groupBy("series_id", "end").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("tail"))
     step = lambda acc, _: F.concat(acc, F.array(F.aggregate(F.zip_with(F.slice(acc, -n, n), c, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
     all_ = F.aggregate(F.sequence(F.lit(1), F.lit(length)), F.col("tail"), step)
-    rows = tail.select("series_id", "end", F.posexplode(F.slice(all_, n + 1, length)).alias("p", "value"))
+    rows = tail.select("series_id", "end", F.posexplode(F.slice(all_, n + 1, length)).alias("p", "value"))  # p from 0
     return rows.select("series_id", (F.col("end") + F.col("p") + 1).alias("t"), "value")
 
 
