@@ -11,7 +11,7 @@ ALLOWED = {
     "lrr": SERIES, "roots": SERIES, "rforecast": SERIES, "vforecast": SERIES,
     "bforecast": frozenset(("1d", "toeplitz")), "forecast": frozenset(("1d", "toeplitz")), "predict": frozenset(("1d", "toeplitz", "mssa")),
     "parestimate": ALL, "gapfill": SERIES, "igapfill": frozenset(("1d", "mssa", "nd")), "summarize_gaps": frozenset(("1d", "toeplitz", "cssa")),
-    "iossa": frozenset(("1d", "toeplitz", "mssa", "nd")), "fossa": ALL, "eossa": SERIES,
+    "iossa": frozenset(("1d", "toeplitz", "mssa", "nd")), "fossa": ALL, "eossa": ALL,
     "grouping_wcor": ALL, "grouping_pgram": frozenset(("1d", "toeplitz")), "projection": frozenset(("1d", "nd")), "weights": frozenset(("1d", "nd")), "circular": frozenset(("1d", "toeplitz", "nd")), "hmatr": frozenset(("1d",)),
 }
 

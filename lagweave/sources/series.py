@@ -72,3 +72,15 @@ def analytic(spark: SparkSession, n: int, value: str, name: str = "x", start: in
 def analytic_field(spark: SparkSession, n: int, m: int, value: str) -> DataFrame:
     rows = spark.range(n * m).select(F.lit("f").alias("field_id"), (F.floor(F.col("id") / m) + 1).alias("i"), (F.col("id") % m + 1).alias("j"))
     return rows.withColumn("value", F.expr(value))
+
+
+def timed(rows: DataFrame, start: str, unit: str) -> DataFrame:
+    """rows with ts, the time of t: t = 1 is `start`, steps are months, days, hours, minutes or seconds.
+
+    Forecasts carry on t, and backward ones go below 1, so their times follow."""
+    at = F.to_timestamp(F.lit(start))
+    if unit == "month":
+        first = F.to_date(at)
+        return rows.withColumn("ts", F.to_timestamp(F.add_months(first, (F.col("t") - 1).cast("int"))))
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit]
+    return rows.withColumn("ts", F.timestamp_seconds(F.unix_timestamp(at) + (F.col("t") - 1) * seconds))

@@ -160,3 +160,13 @@ def test_field_roots(pairing):
 def test_by_frequency_takes_first_of_ties():
     share, groups = N.by_frequency([np.ones(8)], 2)
     assert groups == [[0], []] and share[0, 0] == 1
+
+
+def test_field_split():
+    i, j = np.meshgrid(np.arange(1, 31), np.arange(1, 29), indexing="ij")
+    a, b = np.sin(2 * np.pi * i / 5) * np.exp(j / 40), np.cos(2 * np.pi * j / 7) * np.exp(-i / 50)
+    t = D.basic(Trajectory([Block(a + b, np.ones((10, 11), bool), (False, False))]), 4)
+    e, groups = N.esprit_oblique(t, [[1, 2, 3, 4]])
+    got = [e.series(g)[0] for g in groups]
+    assert min(np.abs(got[0] - a).max(), np.abs(got[0] - b).max()) < 1e-8
+    np.testing.assert_allclose(got[0] + got[1], a + b, atol=1e-9)
