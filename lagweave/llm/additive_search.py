@@ -123,7 +123,7 @@ def best_pairs(books: Codebooks, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarr
     return tuple(np.concatenate(x) if out else np.zeros(0, int) for x in zip(*out, strict=True))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, depth: int = 400, sample_rows: int = 20_000, books: int = 8, entries: int = 64, tiles: int = 24) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, depth: int = 400, sample_rows: int = 20_000, books: int = 8, entries: int = 64, tiles: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest of all other rows of vectors.
 
     Nearness is the largest inner product, in double precision over the original vectors; equal
@@ -144,6 +144,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, depth: int = 40
     model = fitted(np.stack(sample["embedding"].to_numpy()), books, entries)
     index, wanted = blocks(rows, INDEX_ROWS, model), blocks(asked, QUERY_ROWS, None)
     shared = vectors.sparkSession.sparkContext.broadcast(model)
+    tiles = tiles or max(24, 2 * vectors.sparkSession.sparkContext.defaultParallelism)
     tile = F.pmod(F.xxhash64("id"), F.lit(tiles))
     left = wanted.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("tile"))
     pairs = index.withColumn("tile", tile).hint("shuffle_hash").join(left, "tile").select("q_ids", "q", "ids", "vectors", "codes", "rest")
