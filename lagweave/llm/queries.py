@@ -102,4 +102,35 @@ SELECT d.doc_id, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles, coalesce(com
 FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN component USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op5_jaccard_join": OP5_SQL}
+
+
+def case(value: str) -> str:
+    """CASE over the URL rules, the longest first."""
+    rules = sorted(map(url_trust.Rule.read, URL_RULES), key=lambda r: -len(r.text))
+    return "CASE " + " ".join(f"WHEN (host = '{r.host}' OR suffix(host, '.{r.host}')) AND prefix(path, '{r.path}') THEN '{getattr(r, value)}'" for r in rules) + " END"
+
+
+def ranks(name: str, a: str, b: str, seeds: str, rounds: int = 20) -> str:
+    """CTEs of a personalised PageRank over links from column a to column b; the last is `name`."""
+    out = [f"{name}_share AS MATERIALIZED (SELECT {a} AS a, {b} AS b, n / sum(n) OVER (PARTITION BY {a}) AS share FROM links)",
+           f"{name}_0 AS MATERIALIZED (SELECT host, 0.15 / count(*) OVER () AS score FROM votes WHERE {seeds})"]
+    for i in range(1, rounds + 1):
+        last = f"{name}_{i - 1}"
+        out.append(f"{name if i == rounds else f'{name}_{i}'} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT s.b AS host, 0.85 * r.score * s.share AS score FROM {name}_share s JOIN {last} r ON s.a = r.host UNION ALL SELECT * FROM {name}_0) GROUP BY host)")
+    return ",\n".join(out)
+
+
+OP7_SQL = rf"""
+WITH u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS MATERIALIZED (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+k AS MATERIALIZED (SELECT page_id, host, path, {case("text")} AS rule, {case("verdict")} AS verdict FROM p),
+votes AS MATERIALIZED (SELECT host, sum(CASE verdict WHEN 'allow' THEN 1 ELSE -1 END) AS vote FROM k WHERE host <> '' AND verdict IS NOT NULL GROUP BY host),
+found AS (SELECT host AS a, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)', 1)) AS link FROM p WHERE host <> ''),
+links AS MATERIALIZED (SELECT a, b, CAST(count(*) AS DOUBLE) AS n FROM (SELECT a, translate(regexp_extract(link, '//([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS b FROM found) WHERE b <> '' AND a <> b GROUP BY a, b),
+{ranks("trust", "a", "b", "vote > 0")},
+{ranks("distrust", "b", "a", "vote <= 0")}
+SELECT page_id, k.host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust.score, 0) - coalesce(trust.score, 0) >= 1e-12 THEN 'block' ELSE 'allow' END) AS verdict
+FROM k LEFT JOIN trust ON trust.host = k.host LEFT JOIN distrust ON distrust.host = k.host
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op7_url_trust": OP7_SQL}
