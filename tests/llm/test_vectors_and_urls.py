@@ -7,6 +7,7 @@ import corpus_pipeline
 from lagweave.llm import additive_search, url_trust
 from lagweave.llm.queries import ORACLE_SQL, QUERIES, URL_RULES
 from lagweave.llm.shared import saved
+from test_text_operators import brute_components, words4
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,6 +102,31 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "substring_deduplication", "decontamination", "sentencepiece"]
 
 
+def test_stages_equal_brute_force(spark):
+    """Each deciding stage on its own input: which documents stay, by plain loops."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    groups = {}
+    for (i, _), (_, n, c) in zip(rows, brute_components(rows, 5, 80), strict=True):
+        groups.setdefault(c if n else ("alone", i), []).append(i)
+    near = saved(corpus_pipeline.near_duplicates(spark, docs, SF), "near")
+    assert sorted(r.doc_id for r in near.collect()) == sorted(min(g) for g in groups.values())
+
+    items = [words4(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = [{tuple(w[j : j + 8]) for j in range(max(1, len(w) - 7))} for w in items if w]
+    clean = []
+    for i, t in rows:
+        w = words4(t)
+        grams = {n: {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} for n in range(1, 9)}
+        found = [x for x in windows if x & grams[len(next(iter(x)))]]
+        if len(found) < 2 and not any(len(next(iter(x))) == 8 for x in found):
+            clean.append(i)
+    assert sorted(r.doc_id for r in corpus_pipeline.decontamination(spark, docs, SF).collect()) == sorted(clean)
+
+    kept = corpus_pipeline.language_id(spark, docs, SF).count()
+    assert kept >= 0.98 * len(rows)
+
+
 def test_pipeline_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "x " * 40), (3, "x " * 40), (None, "Der Hund und die Katze " * 5), (4, "Der Hund und die Katze " * 5)]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
