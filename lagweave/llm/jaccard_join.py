@@ -6,9 +6,9 @@ have sizes s <= t <= 100 s / p, and share a subset of ceil(p (s + t) / (100 + p)
 * Light sets (size up to a boundary): every subset of each size that such an overlap can have is
   enumerated and hashed; similar sets share one of these keys.
 * Heavy sets: sizes are cut into intervals [l, 100 l / p]. For the sizes of an interval and the one
-  before it, the items' hash range is cut into d + 1 + SPARE segments, d being the largest symmetric
-  difference allowed. Similar sets agree in 1 + SPARE segments at least, so scanning the inverted
-  lists of segments finds them; a set with more than SPARE empty segments enters those too. A
+  before it, the items' hash range is cut into d + 1 + e segments, d being the largest symmetric
+  difference allowed. e bounds the empty ones but for rare sets. Similar sets agree in 1 + e segments at least, so scanning the inverted
+  lists of segments finds them; a set with more than e empty segments enters those too. A
   segment holds several items, so a frequent n-gram makes no long list.
 * The boundary is chosen by cost: the largest size up to which the subset keys of a set cost no more
   than its segment keys, each of which counts SCAN_COST times. Sets near it are entered in both.
@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import ceil, comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -44,21 +44,31 @@ def subset_keys(s: int, percent: int) -> int:
     return sum(comb(s, k) for k in range(s - smallest_partner(s, percent) + 1))
 
 
+def spare(low: int, d: int) -> int:
+    """Segments beyond d + 1: about as many as a set of `low` items leaves empty, with some room."""
+    s = SPARE
+    for _ in range(3):
+        e = (d + 1 + s) * exp(-low / (d + 1 + s))
+        s = max(SPARE, ceil(e + 2 * sqrt(e)) + 1)
+    return s
+
+
 @lru_cache(None)
-def intervals(upto: int, percent: int) -> tuple[tuple[int, int, int], ...]:
-    """(smallest, largest, segments) of each interval of sizes, from 1 on."""
+def intervals(upto: int, percent: int) -> tuple[tuple[int, int, int, int], ...]:
+    """(smallest, largest, segments, spare ones) of each interval of sizes from 1 on, and one beyond."""
     out, low = [], 1
-    while low <= upto or not out:
+    while len(out) < 2 or out[-2][1] < upto:
         high = 100 * low // percent
-        out.append((low, high, 2 * high * (100 - percent) // (100 + percent) + 1 + SPARE))
+        d = 2 * high * (100 - percent) // (100 + percent)
+        extra = spare(out[-1][0] if out else low, d)  # the interval before is in these segments too
+        out.append((low, high, d + 1 + extra, extra))
         low = high + 1
-    low, high = out[-1][1] + 1, 100 * (out[-1][1] + 1) // percent
-    return (*out, (low, high, 2 * high * (100 - percent) // (100 + percent) + 1 + SPARE))
+    return tuple(out)
 
 
 def segment_keys(s: int, percent: int) -> int:
     parts = intervals(s, percent)
-    k = next(i for i, (a, b, _) in enumerate(parts) if a <= s <= b)
+    k = next(i for i, (a, b, *_) in enumerate(parts) if a <= s <= b)
     return parts[k][2] + parts[k + 1][2]
 
 
@@ -87,6 +97,7 @@ def heavy(values: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int
         return np.zeros(0, U64), np.zeros(0, int)
     parts = intervals(int(sizes.max()), percent)
     at = np.searchsorted([p[1] for p in parts], sizes)
+    extra = np.array([p[3] for p in parts])
     count, mixed, top = np.array([p[2] for p in parts]), mix(values), values >> U64(32)
     keys, owners = [], []
     for level in (at, at + 1):
@@ -99,7 +110,7 @@ def heavy(values: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int
         full = np.zeros(begin[-1], bool)
         full[place[new]] = True
         who = np.repeat(np.arange(len(sizes)), m)
-        sparse = np.add.reduceat(~full, begin[:-1]) > SPARE
+        sparse = np.add.reduceat(~full, begin[:-1], dtype=np.int64) > extra[level]
         kept = full | sparse[who]
         segment = (np.arange(begin[-1]) - begin[:-1][who])[kept].astype(U64)
         who = who[kept]
