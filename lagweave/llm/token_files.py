@@ -26,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -176,7 +177,8 @@ class Encoder:
     """A tokenizer of the tokenizers library that is asked once for each distinct pre-token.
 
     Byte-level BPE never joins pre-tokens, so their ids are put together. Texts with characters that
-    pre_tokens() does not know, and tokenizers with other pre-tokenisers, go to the library whole.
+    pre_tokens() does not know, texts that hold the content of an added token, which the library
+    takes out before it pre-tokenises, and tokenizers with other pre-tokenisers go to it whole.
     """
 
     def __init__(self, path: str):
@@ -184,7 +186,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
         pre = str(self.library.pre_tokenizer)
         self.splits = pre.startswith("ByteLevel(") and "add_prefix_space=False" in pre and "use_regex=True" in pre and self.library.normalizer is None
         self.store = WordStore(self.asked)
@@ -203,6 +205,8 @@ class Encoder:
         bounds, data = text_buffers(texts)
         begins, known = pre_tokens(data, bounds)
         known &= self.splits
+        for content in self.added:
+            known &= ~pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
         if known.all():
             return encoded_words(self.store, data, bounds, begins)
         odd = np.flatnonzero(~known)

@@ -89,6 +89,24 @@ def test_token_files(spark):
     assert token_files.round_trip(frame(spark, ODD).where("false"), public_tokenizers.path("byte_bpe_50k.json"), 2).count() == 0
 
 
+def test_added_tokens_equal_a_fresh_library(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["end of a sample<|endoftext|>next", "<|endoftext|>", " <|endoftext|> <|endoftext|>\n", "<|endoftext", "plain", "日本<|endoftext|>", "a<|endoftext|>b " * 300]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in expected[0]
+    ids, ends = token_files.Encoder(path).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == expected
+    start, rows = 0, []
+    for i, x in enumerate(expected):
+        rows.append((i, start, len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())))
+        start += len(x) + 1
+    got = token_files.round_trip(frame(spark, list(enumerate(texts))), path, 2).orderBy("start").collect()
+    assert [tuple(r) for r in got] == rows
+
+
 # --- op 2 ---
 
 
