@@ -1,6 +1,6 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, these are normalised (lower case, no punctuation, one space), and known
+A text's paragraphs are cut into sentences, across lines, these are normalised (lower case, no punctuation, one space), and known
 licence sentences get identifiers. The sequence of a text's identifiers is matched against ordered
 rules, each a sequence of identifiers that stands for a licence; what a rule matches is used up, and
 earlier rules win, so that a whole licence text is told before the single sentences in it.
@@ -9,6 +9,7 @@ earlier rules win, so that a whole licence text is told before the single senten
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +24,9 @@ SENTENCES = (
     ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("as-is", r"the software is provided as is without warranty of any kind .*"),
     ("no-liability", r"in no event shall the (?:authors|copyright holders?|author) .*liable .*"),
-    ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*"),
+    ("isc-as-is", r"the software is provided as is and .*disclaims? all warranties .*"),
+    ("isc-grant", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that .*"),
+    ("0bsd-grant", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd-grant", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met.*"),
     ("bsd-source", r"(?:\d )?redistributions of source code must retain the above copyright notice .*"),
     ("bsd-binary", r"(?:\d )?redistributions in binary form must reproduce the above copyright notice .*"),
@@ -32,7 +35,7 @@ SENTENCES = (
     ("bsd-as-is", r"this software is provided by .* as is and any express or implied warranties .*"),
     ("apache-2-ref", r"(?:this (?:work|file|software|project) is )?licensed under the apache license version 2 0(?: the license)?"),
     ("apache-2-use", r"you may not use this file except in compliance with the license"),
-    ("apache-2-copy", r"you may obtain a copy of the license at .*"),
+    ("apache-2-copy", r"you may obtain a copy of the license at.*"),
     ("apache-2-law", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis .*"),
     ("apache-2-limits", r"see the license for the specific language governing permissions and limitations under the license"),
     ("mit-ref", r"(?:(?:this (?:work|file|software|project) is )?(?:released|licensed|distributed)|available) under the (?:terms of the )?mit licen[sc]e"),
@@ -46,7 +49,7 @@ SENTENCES = (
     ("agpl-3", r".*\bgnu affero general public licen[sc]e .*\bversion 3\b.*"),
     ("gpl-3-ref", r"(?:this (?:work|file|software|project|program) is )?(?:released|licensed|distributed) under the (?:terms of the )?gnu general public licen[sc]e version 3"),
     ("gpl-2-ref", r"(?:this (?:work|file|software|project|program) is )?(?:released|licensed|distributed) under the (?:terms of the )?gnu general public licen[sc]e version 2"),
-    ("gpl-hope", r"this program is distributed in the hope that it will be useful but without any warranty .*"),
+    ("gpl-hope", r"this program is distributed in the hope that it will be useful but without any warranty.*"),
     ("gpl-details", r"see the gnu general public licen[sc]e for more details"),
     ("gpl-copy", r"you should have received a copy of the gnu general public licen[sc]e along with this program.*"),
     ("mpl-2", r"this source code form is subject to the terms of the mozilla public licen[sc]e v(?:ersion)? 2 0"),
@@ -68,7 +71,7 @@ SENTENCES = (
 #: Licence and the identifiers of its sentences, in order. Earlier rules win.
 RULES = (
     ("MIT", ("mit-grant", "mit-notice", "as-is")),
-    ("ISC", ("isc-grant", "as-is")),
+    ("ISC", ("isc-grant", "isc-as-is")), ("ISC", ("isc-grant", "as-is")), ("0BSD", ("0bsd-grant", "isc-as-is")), ("0BSD", ("0bsd-grant", "as-is")),
     ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse", "bsd-as-is")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
@@ -76,64 +79,91 @@ RULES = (
     ("GPL-3.0-or-later", ("gpl-3-later", "gpl-hope", "gpl-details", "gpl-copy")),
     ("GPL-2.0-or-later", ("gpl-2-later", "gpl-hope", "gpl-details", "gpl-copy")),
     ("MPL-2.0", ("mpl-2", "mpl-2-copy")),
-    ("Apache-2.0", ("apache-2-ref",)), ("MIT", ("mit-ref",)), ("BSD-2-Clause", ("bsd-2-ref",)), ("BSD-3-Clause", ("bsd-3-ref",)), ("BSD", ("bsd-ref",)),
+    ("ISC", ("isc-grant",)), ("0BSD", ("0bsd-grant",)), ("Apache-2.0", ("apache-2-ref",)), ("MIT", ("mit-ref",)), ("BSD-2-Clause", ("bsd-2-ref",)), ("BSD-3-Clause", ("bsd-3-ref",)), ("BSD", ("bsd-ref",)),
     ("GPL-3.0-or-later", ("gpl-3-later",)), ("GPL-2.0-or-later", ("gpl-2-later",)), ("GPL-3.0-only", ("gpl-3-ref",)), ("GPL-2.0-only", ("gpl-2-ref",)),
     ("LGPL-3.0", ("lgpl-3",)), ("LGPL-2.1", ("lgpl-2-1",)), ("AGPL-3.0", ("agpl-3",)), ("MPL-2.0", ("mpl-2",)), ("EPL-2.0", ("epl-2",)),
     ("CC-BY-NC-SA", ("cc-by-nc-sa",)), ("CC-BY-NC-ND", ("cc-by-nc-nd",)), ("CC-BY-NC", ("cc-by-nc",)), ("CC-BY-ND", ("cc-by-nd",)), ("CC-BY-SA", ("cc-by-sa",)), ("CC-BY", ("cc-by",)),
     ("CC0-1.0", ("cc0",)), ("Unlicense", ("unlicense",)), ("Public-Domain", ("public-domain",)), ("Proprietary", ("rights-reserved",)), ("SPDX", ("spdx",)),
 )
-KNOWN = tuple((name, re.compile(pattern)) for name, pattern in SENTENCES)
 #: Every known sentence holds one of these words.
 CUE = re.compile("licens|licenc|copyright|©|permi|redistribut|warrant|liable|software|advertising materials|neither the name|gnu |mozilla|mpl|eclipse|cc by|cc-by|cc0|creative commons|public domain|rights reserved|spdx")
-END = re.compile(r"[.!?;]+[\"'”’)\]]*\s+|\n|[.!?;]+$")
+#: Where a sentence ends; "v. 2.0" does not end one.
+END = re.compile(r"(?<!\bv)(?<!\bV)[.!?]+[\"'”’)\]]*(?:\s+|$)")
+#: Where a part of a sentence ends: notices often stand on lines or before semicolons without a full stop.
+PART = re.compile(r"\n|;+[\"'”’)\]]*(?:\s+|$)")
 JUNK = re.compile(r"[^\w©]+|_+")
+SPDX = re.compile(r"spdx-license-identifier\W*?:\s*(\S+)", re.I)
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in END.split(text) if s.strip()]
+def searched(pattern: str) -> re.Pattern:
+    """Finds what the pattern needs in parts joined by line breaks, from where a part begins to where one ends."""
+    start, end = r"(?:(?<=\n)|\A)", r"(?=\n|\Z)"
+    if pattern.startswith(r".*\b"):
+        pattern, start = pattern[2:], ""
+    if pattern.endswith(".*"):
+        pattern, end = pattern[:-2], ""
+    inside = pattern.replace(".*", ".*?").replace(".+", ".+?").replace(" ", r"[ \n]")
+    return re.compile(f"{start}(?:{inside}){end}", re.S)
+
+
+KNOWN = tuple((name, searched(pattern)) for name, pattern in SENTENCES)
 
 
 def normalised(sentence: str) -> str:
     return " ".join(JUNK.sub(" ", sentence.lower()).split())
 
 
+def paragraphs(text: str) -> Iterator[str]:
+    """Runs of lines with words: lines that are blank, or hold comment marks alone, part them."""
+    lines: list[str] = []
+    for line in [*text.split("\n"), ""]:
+        if normalised(line):
+            lines.append(line)
+        elif lines:
+            yield "\n".join(lines)
+            lines = []
+
+
 def identifiers(text: str) -> list[tuple[str, str]]:
     """(identifier, version or name in it) of the text's known sentences, in order.
 
-    Licence texts break lines inside sentences, so lines that hold a cue are also tried together
-    with the lines after them, up to where a sentence ends.
+    A known sentence may take any run of parts (lines, or what semicolons part) of a sentence.
     """
     out = []
-    lines = text.split("\n")
-    i = 0
-    while i < len(lines):
-        if not CUE.search(lines[i].lower()):
-            i += 1
-            continue
-        found, used = [], 1
-        for joined in range(1, 9):  # the longest known sentence takes fewer lines of usual width
-            block = sentences(" ".join(lines[i : i + joined]))
-            now = [x for x in map(identified, block) if x]
-            if len(now) > len(found):
-                found, used = now, joined
-            whole = joined == 1 and block and identified(block[-1])  # the line ends with its sentence
-            if whole or i + joined >= len(lines) or not lines[i + joined].strip():
-                break
-        out += found
-        i += used
+    for paragraph in paragraphs(text):
+        if CUE.search(paragraph.lower()):
+            for sentence in END.split(paragraph):
+                if CUE.search(sentence.lower()):
+                    out += identified(sentence)
     return out
 
 
-def identified(sentence: str) -> tuple[str, str] | None:
-    plain = normalised(sentence)
-    if not CUE.search(sentence.lower()):
-        return None
+def identified(sentence: str) -> list[tuple[str, str]]:
+    """Of the known sentences found, those in most runs of parts that do not overlap; of as many, the longer ones."""
+    plain = "\n".join(x for x in map(normalised, PART.split(sentence)) if x)
+    runs: dict[tuple[int, int], tuple[int, tuple[str, str]]] = {}  # the first of SENTENCES in each run
     for name, pattern in KNOWN:
-        if m := pattern.fullmatch(plain):
+        for i, m in enumerate(pattern.finditer(plain)):
+            first = plain.rfind("\n", 0, m.start()) + 1
+            last = plain.find("\n", max(m.end() - 1, m.start()))
             if name == "spdx":
-                return name, (sentence.partition(":")[2].split() or [""])[0].rstrip(".")
-            return name, ".".join(g for g in m.groups() if g)
-    return None
+                named = SPDX.findall(sentence)
+                extra = named[i].rstrip(".") if i < len(named) else ""
+            else:
+                extra = ".".join(g for g in m.groups() if g)
+            runs.setdefault((first, last if last >= 0 else len(plain)), (m.end() - m.start(), (name, extra)))
+    ends: list[int] = []
+    best: list[tuple[int, int, tuple]] = []  # number, length and chain of what is chosen up to each end
+    for (first, last), (size, what) in sorted(runs.items(), key=lambda x: (x[0][1], x[0][0])):
+        before = best[bisect_right(ends, first) - 1] if bisect_right(ends, first) else (0, 0, ())
+        now = (before[0] + 1, before[1] + size, (before[2], what))
+        ends.append(last)
+        best.append(now if not best or now[:2] > best[-1][:2] else best[-1])
+    out, chain = [], best[-1][2] if best else ()
+    while chain:
+        chain, what = chain
+        out.append(what)
+    return out[::-1]
 
 
 def licences(ids: list[tuple[str, str]]) -> list[str]:

@@ -227,6 +227,49 @@ def test_licences(spark):
     assert all(r.n_licences == 0 for r in licence_scan.scanned(frame(spark, ODD)).collect())
 
 
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program; if not, write to the Free Software Foundation, Inc."""
+GRANT = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"
+ISC_AS_IS = '\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY.'
+BSD = ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n", "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation.",
+       "3. All advertising materials mentioning features or use of this software must\n   display the following acknowledgement:\n   This product includes software developed by X.", "4. Neither the name of the copyright holder nor the names of its contributors\n   may be used to endorse or promote products derived from\n   this software.", '\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, ARE DISCLAIMED.']
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.'
+LGPL = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {} General Public\nLicense as published by the Free Software Foundation; either\nversion {} of the License, or (at your option) any later version."
+PUBLIC = [
+    ("GPL-2.0-or-later", GPL.format(2), 4), ("GPL-3.0-or-later", GPL.format(3), 4), ("ISC", GRANT + ", provided that the above\ncopyright notice and this permission notice appear in all copies." + ISC_AS_IS, 2), ("0BSD", GRANT + "." + ISC_AS_IS, 2),
+    ("BSD-4-Clause", "\n".join(BSD), 6), ("BSD-3-Clause", "\n".join(BSD[:3] + BSD[4:]), 5), ("BSD-2-Clause", "\n".join(BSD[:3] + BSD[5:]), 4), ("Apache-2.0", APACHE, 5),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", 2),
+    ("LGPL-2.1", LGPL.format("Lesser", "2.1"), 1), ("LGPL-3.0", LGPL.format("Lesser", "3"), 1), ("AGPL-3.0", LGPL.format("Affero", "3"), 1),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available online.", 1), ("Unlicense", "This is free and unencumbered software released into the public\ndomain.", 1), ("CC0-1.0", "To the extent possible\nunder law, it is\ngiven under CC0 1.0.", 1),
+]
+
+
+@pytest.mark.parametrize(("licence", "text", "n"), PUBLIC, ids=[x for x, _, _ in PUBLIC])
+def test_public_licence_texts(licence, text, n):
+    for t in (text, "\n".join(" * " + x for x in text.split("\n")), "A first line without an end\n" + text):
+        ids = licence_scan.identifiers(t)
+        assert licence_scan.licences(ids) == [licence] and len(ids) == n, ids
+
+
+def test_licence_parts():
+    names = lambda t: licence_scan.licences(licence_scan.identifiers(t))
+    assert names("Released under the MIT License; see the file.") == ["MIT"] == names("Copyright 2020 Foo\nReleased under the MIT License\nand more words")
+    assert names("This program is licensed under the GNU General Public License, version 2\nor (at your option) any later version.") == ["GPL-2.0-or-later"]
+    long = "a b\n" * 12 + "under the GNU General Public License as published; " + "c d\n" * 12 + "version 3 of the License, or any later version."
+    assert names(long) == ["GPL-3.0-or-later"]
+    assert names("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0\nx = 1") == ["MIT", "Apache-2.0"]
+
+
 # --- op 8 ---
 
 
