@@ -6,6 +6,13 @@ Paragraphs of `least` words or more get MinHash signatures over their word shing
 for high recall; colliding ones are joined, the exact Jaccard similarity verified, and similar
 paragraphs clustered by components. Of each cluster the first document that has it (by doc_id) keeps
 it. In other documents, runs of such pieces of `least` words or more are cut out.
+
+Lines of fewer words form a paragraph with their neighbours, up to a blank or a longer line, so that
+wrapped passages get signatures. What keeps to no bounds
+is found by word windows: of each window of a text's k-word grams the smallest hash is a fingerprint,
+so that two texts with `least` words in a row in common share one. Around shared fingerprints every
+gram is compared, which extends a hit word by word to the passage's ends. In scripts without spaces
+each character is a word.
 """
 
 from __future__ import annotations
@@ -23,6 +30,8 @@ from lagweave.llm.shared import MASK, NOT_SPACE, U64, Sieve, Words, binary_array
 from lagweave.llm.similar import resolve
 
 ROWS, SHORT, GAP = 3, 4, 10
+#: Sentence marks of other scripts: ideographic and fullwidth ones, danda.
+MARKS = tuple(x.encode() for x in "。！？।")
 
 
 def bands(percent: int, recall: float = 0.9995, rows: int = ROWS) -> int:
@@ -33,8 +42,9 @@ def bands(percent: int, recall: float = 0.9995, rows: int = ROWS) -> int:
 class Pieces:
     """Sentences and paragraphs of a run of texts, as ranges of words; pieces never pass a line's end."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, least: int):
         self.w = w = Words(texts, NOT_SPACE)
+        self.part_characters()
         n = len(w.starts)
         self.hash = w.hashes()
         newline = np.concatenate([[0], np.cumsum(w.data == 10)])
@@ -43,7 +53,54 @@ class Pieces:
         line_end[w.first[1:][w.counts > 0] - 1] = True
         last = w.data[w.ends - 1] if n else np.zeros(0, np.uint8)
         sentence_end = line_end | np.isin(last, np.frombuffer(b".!?", np.uint8))
-        self.lines, self.sentences = (self.ranges(np.flatnonzero(x) + 1) for x in (line_end, sentence_end))
+        for mark in MARKS:
+            sentence_end |= (w.ends - w.starts >= 3) & np.logical_and.reduce([w.data[w.ends - 3 + i] == c for i, c in enumerate(mark)])
+        block_end = line_end.copy()
+        block_end[:-1] = newline[w.starts[1:]] > newline[w.ends[:-1]] + 1
+        block_end[w.first[1:][w.counts > 0] - 1] = True
+        begin, end = self.ranges(np.flatnonzero(line_end) + 1)
+        alone = end - begin >= least
+        block_end[end[alone] - 1] = True
+        block_end[begin[alone & (begin > 0)] - 1] = True
+        lines, blocks, self.sentences = (self.ranges(np.flatnonzero(x) + 1) for x in (line_end, block_end, sentence_end))
+        several = ~np.isin(blocks[0] * (n + 1) + blocks[1], lines[0] * (n + 1) + lines[1])
+        start, end = (np.concatenate([x, y[several]]) for x, y in zip(lines, blocks, strict=True))
+        order = np.argsort(start, kind="stable")
+        self.lines = start[order], end[order]
+
+    def part_characters(self) -> None:
+        """Makes each character of scripts without spaces a word (UTF-8 of three bytes)."""
+        w = self.w
+        lead = np.flatnonzero(w.data >= 0xE0)
+        first, second = w.data[lead], w.data[np.minimum(lead + 1, len(w.data) - 1)]
+        own = (first >= 0xE3) & (first <= 0xE9)  # kana, Chinese characters
+        own |= (first == 0xE0) & (second >= 0xB8) & (second <= 0xBB)  # Thai, Lao
+        own |= (first == 0xE1) & np.isin(second, (0x80, 0x81, 0x82, 0x9E, 0x9F))  # Burmese, Khmer
+        if not own.any():
+            return
+        place = np.unique(np.concatenate([lead[own], lead[own] + 3]))
+        word = np.searchsorted(w.starts, place, "right") - 1
+        place = place[(place > w.starts[word]) & (place < w.ends[word])]
+        w.starts, w.ends = np.sort(np.concatenate([w.starts, place])), np.sort(np.concatenate([w.ends, place]))
+        w.first = np.searchsorted(w.starts, w.bounds)
+        w.counts = np.diff(w.first)
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, texts and hashes of all grams of k words."""
+        n = np.maximum(self.w.counts - k + 1, 0)
+        text = np.repeat(np.arange(len(n)), n)
+        at = self.w.first[:-1][text] + np.arange(len(text)) - (np.cumsum(n) - n)[text]
+        return at, text, range_hashes(self.hash, at, at + k)
+
+    @staticmethod
+    def fingerprints(text: np.ndarray, hashes: np.ndarray, window: int) -> np.ndarray:
+        """Flags of the grams that are the smallest of a window of their text."""
+        if len(text) < window:
+            return np.zeros(len(text), bool)
+        low = sliding(hashes, window, np.minimum)
+        low[text[window - 1 :] != text[: len(low)]] = 0  # no window passes a text's end
+        pad = np.zeros(window - 1, U64)
+        return sliding(np.concatenate([pad, low, pad]), window, np.maximum) == hashes
 
     @staticmethod
     def ranges(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +120,15 @@ class Pieces:
         return distinct_per_text(range_hashes(self.hash, at, at + k), who, len(n))
 
 
+def sliding(x: np.ndarray, window: int, f: np.ufunc) -> np.ndarray:
+    """f over each window of x."""
+    span = 1
+    while 2 * span <= window:
+        x, span = f(x[:-span], x[span:]), 2 * span
+    rest = window - span
+    return f(x[: len(x) - rest], x[rest:]) if rest else x
+
+
 def min_hashes(values: np.ndarray, offsets: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
     """Band keys of non-empty sets: an array of sets x bands."""
     out = np.zeros((len(offsets) - 1, n_bands), U64)
@@ -89,22 +155,27 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, least: in
     pieces kept keep their white space. Null doc_ids come last in the order of keepers.
     """
     n_bands = bands(percent)
+    k = (least + 1) // 2
+    window = least - k + 1
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            p = Pieces(batch.column(2))
+            p = Pieces(batch.column(2), max(least, shingle))
             start, _, node = p.nodes(p.sentences, SHORT)
             cuts = np.searchsorted(start, p.w.first)
             begin, end, lines = p.nodes(p.lines, max(least, shingle))
             places = np.searchsorted(begin, p.w.first)
             keys = min_hashes(*p.sets(begin, end, shingle), n_bands, ROWS).view(np.int64)
+            _, text, grams = p.grams(k)
+            some = p.fingerprints(text, grams, window)
+            prints, ranges = distinct_per_text(grams[some], text[some], p.w.n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), list_array(node, cuts, pa.int64()), list_array(lines, places, pa.int64()),
-                 list_array(keys.ravel(), places * n_bands, pa.int64())],
-                ["doc_id", "text_hash", "sentences", "lines", "keys"])
+                 list_array(keys.ravel(), places * n_bands, pa.int64()), list_array(prints.view(np.int64), ranges, pa.int64())],
+                ["doc_id", "text_hash", "sentences", "lines", "keys", "prints"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    table = saved(rows.mapInArrow(units, "doc_id long, text_hash long, sentences array<long>, lines array<long>, keys array<long>"), "units")
+    table = saved(rows.mapInArrow(units, "doc_id long, text_hash long, sentences array<long>, lines array<long>, keys array<long>, prints array<long>"), "units")
     pairs = table.select(F.explode(F.transform("lines", lambda x, i: F.struct(x.alias("node"), F.slice("keys", i * n_bands + 1, n_bands).alias("keys")))).alias("x"))
     line_keys = pairs.select("x.node", "x.keys")
     lists = listed(line_keys, "keys", "node")
@@ -128,6 +199,11 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, least: in
     some = table.select("doc_id", "text_hash", "sentences").mapInArrow(near, "doc_id long, text_hash long, class long")
     lost = some.select(document.alias("d"), "class").join(sentence_keeper, "class").where("d <> keeper").select("d", F.col("class").alias("node"))
     lost = lost.union(lines.join(line_keeper, "class").where("d <> keeper").select("d", "node"))
+    prints = table.select(F.xxhash64("doc_id", "text_hash").alias("who"), F.explode("prints").alias("class"))
+    prints = prints.groupBy("class").agg(F.min("who").alias("lo"), F.max("who").alias("hi")).where("lo < hi").select("class")
+    passages = passage_grams(rows, saved(prints, "prints"), k, window)
+    passages = saved(passages.select(document.alias("d"), F.explode("grams").alias("class")), "passages")
+    lost = lost.union(passages.join(shared_classes(passages), "class").where("d <> keeper").select("d", F.col("class").alias("node")))
     lost = saved(lost.groupBy("d").agg(F.collect_set("node").alias("nodes")).select("d.doc_id", "d.text_hash", "nodes").withColumn("mark", F.xxhash64("doc_id", "text_hash")), "lost")
     return cut(docs, lost, least)
 
@@ -137,13 +213,37 @@ def shared_classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("class").agg(F.min("d").alias("keeper"), F.max("d").alias("other")).where("keeper <> other").select("class", "keeper")
 
 
+def passage_grams(rows: DataFrame, shared: DataFrame, k: int, window: int) -> DataFrame:
+    """(doc_id, text_hash, grams) of the texts with shared fingerprints: all distinct grams in whose window one is."""
+    sieve = Sieve(shared, "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            p = Pieces(batch.column(2), k)
+            _, text, grams = p.grams(k)
+            hit = np.flatnonzero(p.fingerprints(text, grams, window))
+            hit = hit[sieve(grams[hit].view(np.int64))]
+            count = np.bincount(text, minlength=p.w.n)
+            last = np.cumsum(count)
+            near = np.zeros(len(text) + 1, np.int64)
+            np.add.at(near, np.maximum(hit - window + 1, (last - count)[text[hit]]), 1)
+            np.add.at(near, np.minimum(hit + window, last[text[hit]]), -1)
+            near = np.cumsum(near)[:-1] > 0
+            values, offsets = distinct_per_text(grams[near], text[near], p.w.n)
+            some = pa.array(np.diff(offsets) > 0)
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(values.view(np.int64), offsets, pa.int64())], ["doc_id", "text_hash", "grams"])
+            yield out.filter(some)
+
+    return rows.mapInArrow(run, "doc_id long, text_hash long, grams array<long>")
+
+
 def paragraph_sets(texts: DataFrame, wanted: DataFrame, shingle: int, least: int) -> DataFrame:
     """A written table (node, items) of the wanted paragraphs, from the texts read again."""
     sieve = Sieve(wanted, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            p = Pieces(batch.column(0))
+            p = Pieces(batch.column(0), least)
             start, end, node = p.nodes(p.lines, least)
             _, first = np.unique(node, return_index=True)
             first = first[sieve(node[first])]
@@ -180,18 +280,24 @@ def cut(docs: DataFrame, lost: DataFrame, least: int) -> DataFrame:
 
 
 def trimmed(texts: pa.Array, nodes: list[list[int] | None], least: int) -> tuple[pa.Array, list[int]]:
-    p = Pieces(texts)
+    p = Pieces(texts, least)
     w, n = p.w, len(p.w.starts)
     owner = np.repeat(np.arange(w.n), w.counts)
     gone = [np.array(x or (), np.int64) for x in nodes]
     mine = np.unique(np.stack([np.repeat(np.arange(w.n), [len(x) for x in gone]), np.concatenate([np.zeros(0, np.int64), *gone])], 1), axis=0)
-    known = set(map(tuple, mine.tolist()))
+    keyed = lambda t, x: mix(x.view(U64) ^ mix(t.astype(U64)))
+    known = keyed(mine[:, 0], np.ascontiguousarray(mine[:, 1]))
     flag = np.zeros(n + 1, np.int64)
     for ranges, short in ((p.sentences, SHORT), (p.lines, least)):
         start, end, node = p.nodes(ranges, short)
-        lost = np.array([(t, x) in known for t, x in zip(owner[start].tolist(), node.tolist(), strict=True)], bool)
+        lost = np.isin(keyed(owner[start], node), known)
         np.add.at(flag, start[lost], 1)
         np.add.at(flag, end[lost], -1)
+    k = (least + 1) // 2
+    at, text, grams = p.grams(k)
+    at = at[np.isin(keyed(text, grams), known)]
+    np.add.at(flag, at, 1)
+    np.add.at(flag, at + k, -1)
     flag = np.cumsum(flag)[:-1] > 0
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flag.astype(np.int8), [0]])))
     runs: list[list[int]] = []

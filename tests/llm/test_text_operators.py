@@ -322,6 +322,28 @@ def test_substrings(spark):
     assert got[0].node == "x" and got[0].keys == 7
 
 
+def test_passages_without_bounds(spark):
+    r = random.Random(9)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    signs = lambda n: "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    p, q, hindi = words(50), signs(60), " ".join("".join(chr(r.randrange(0x915, 0x939)) for _ in range(5)) for _ in range(40))
+    edited = [x if i % 29 else "new" for i, x in enumerate(p.split())]
+    own = {x: (words(40), words(40)) for x in range(2, 12)}
+    joins = {2: (p, " "), 3: (p, " "), 6: (hindi, " "), 7: (hindi, " "), 8: (words(29), " "), 9: (None, " ")}
+    joins[9] = joins[8]
+    rows = [(i, own[i][0] + sep + x + sep + own[i][1]) for i, (x, sep) in joins.items()]
+    own |= {4: (signs(45), signs(45)), 5: (signs(45), signs(45))}
+    rows += [(i, own[i][0] + q + own[i][1]) for i in (4, 5)]
+    rows += [(20, own[10][0] + "\n\n" + "\n".join(" ".join(edited[i : i + 9]) for i in range(0, 50, 9)) + "\n\n" + own[11][0])]
+    got = {x.doc_id: (x.text, x.n_removed) for x in substring_dedup.deduplicated(frame(spark, rows)).collect()}
+    text = dict(rows)
+    for i in (2, 4, 6, 8, 9):
+        assert got[i] == (text[i], 0)
+    assert got[3] == (" ".join(own[3]), 50) == (got[3][0], got[3][1])
+    assert got[5] == ("".join(own[5]), 60) and got[7] == (" ".join(own[7]), 40)
+    assert all(x in got[20][0] for x in (own[10][0], own[11][0])) and got[20][1] >= 48, got[20]
+
+
 def test_near_paragraphs(spark):
     r = random.Random(8)
     w = [f"w{r.randrange(900)}" for _ in range(90)]
