@@ -2,11 +2,13 @@
 
 The page's markup is stripped to lines: one for each block-level element's own text. Lines that lie
 in elements made for something else than the text (menus, headers, footers, forms, adverts, scripts,
-comments of readers, told by tag, role, class or id) count with length 0. Over the lines a sliding
+comments of readers, told by tag, role, class or id) count with length 0. A class or id may mislead: an
+element told by it alone counts after all if it holds main, the page's only article elements, or more
+than half of the text (for comments of readers: all of it). Over the lines a sliding
 window of BLOCK lines sums the lengths; where that sum surges from 0 the text can begin, and where it
 dives to 0 it ends. Of the stretches between surge and dive the one with most text is kept. Where it
 lies in an article or main element, all text of that element is; elsewhere the other stretches that
-hold a sentence are. Every line in what is kept that carries text is returned.
+hold a sentence or a heading (h1, h2) are. Every line in what is kept that carries text is returned.
 """
 
 from __future__ import annotations
@@ -33,7 +35,14 @@ BESIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class and id attributes that name something beside the text.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer header masthead topbar comment comments reply replies discussion disqus respond notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager toolbar skip".split())
+#: Those of them that name what readers write.
+READERS = frozenset("comment comments reply replies discussion disqus respond".split())
+#: Before a name, words that make it a word about the page's layout, and those that make a header the text's own.
+LAYOUT = frozenset("no not non without with has have".split())
+OWN_HEADER = frozenset("entry post article story content section".split())
 ARTICLE = frozenset(("article", "main"))
+#: Elements that may stand in head; any other ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 #: An open element of these ends where one of the others, or its parent, begins or ends.
 CLOSES = {
     "p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
@@ -42,7 +51,7 @@ CLOSES = {
 }
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*$")
+SENTENCE = re.compile(r"[.!?…。！？｡．।॥؟۔։።᙮။។][\"'”’»)\]」』】）》]*$")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -51,6 +60,8 @@ class Line:
     text: str
     beside: bool
     article: int  # number of the article or main element around it, 0 for none
+    named: tuple[int, ...] = ()  # numbers of the elements around it that class or id tell beside
+    heading: bool = False
 
 
 @dataclass
@@ -58,39 +69,72 @@ class Reader:
     """Reads markup into lines."""
 
     lines: list[Line] = field(default_factory=list)
-    open: list[tuple[str, bool, int]] = field(default_factory=list)  # tag, beside, article
+    open: list[tuple[str, bool, int, tuple[int, ...]]] = field(default_factory=list)  # tag, beside, article, named
     text: list[str] = field(default_factory=list)
     articles: int = 0
+    names: list[bool] = field(default_factory=list)  # whether readers' comments are named, by number
+    holders: dict[str, list[tuple[int, ...]]] = field(default_factory=lambda: {t: [] for t in ARTICLE})  # what is named around each
 
     def flush(self) -> None:
         text = " ".join(html.unescape("".join(self.text)).split())
         self.text.clear()
         if text:
-            _, beside, article = self.open[-1] if self.open else ("", False, 0)
-            self.lines.append(Line(text, beside, article))
+            _, beside, article, named = self.open[-1] if self.open else ("", False, 0, ())
+            self.lines.append(Line(text, beside, article, named, any(x[0] in ("h1", "h2") for x in self.open)))
 
     def pop(self, at: int) -> None:
         self.flush()
         del self.open[at:]
 
+    def write(self, text: str) -> None:
+        if self.open and self.open[-1][0] == "head" and text.strip():
+            self.pop(len(self.open) - 1)
+        self.text.append(text)
+
     def start(self, tag: str, attributes: str) -> None:
+        if tag not in IN_HEAD and tag not in ("head", "html"):
+            at = next((i for i, x in enumerate(self.open) if x[0] == "head"), -1)
+            if at >= 0 and not any(x[0] in ("template", "noscript") for x in self.open[at:]):
+                self.pop(at)
         if self.open and tag in CLOSES.get(self.open[-1][0], ()):
             self.pop(len(self.open) - 1)
         else:  # inline elements left open inside a paragraph end with it
             at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] not in INLINE), -1)
             if at >= 0 and tag in CLOSES.get(self.open[at][0], ()):
                 self.pop(at)
-        beside, article = self.open[-1][1:] if self.open else (False, 0)
-        named = beside or is_beside(tag, attributes, article > 0)
-        if tag not in INLINE or named != beside:
+        around, article, names = self.open[-1][1:] if self.open else (False, 0, ())
+        beside = around or is_beside(tag, attributes, article > 0)
+        name = set() if beside or tag in ("html", "body") or tag in ARTICLE else told_by_name(attributes)
+        if tag not in INLINE or beside != around or name:
             self.flush()
+        if name:
+            self.names.append(bool(name & READERS))
+            names = (*names, len(self.names) - 1)
         if tag == "br":
             self.text.append(" ")
-        if tag in ARTICLE and not named and not article:
-            self.articles += 1
-            article = self.articles
+        if tag in ARTICLE and not beside:
+            self.holders[tag].append(names)
+            if not article:
+                self.articles += 1
+                article = self.articles
         if tag not in VOID and not attributes.endswith("/"):
-            self.open.append((tag, named, article))
+            self.open.append((tag, beside, article, names))
+
+    def resolved(self) -> list[Line]:
+        """The lines, those in named elements beside unless the name misleads."""
+        size, total = [0] * len(self.names), 0
+        for x in self.lines:
+            if not x.beside:
+                total += len(x.text)
+                for i in x.named:
+                    size[i] += len(x.text)
+        misled = {i for i, n in enumerate(size) if (n == total if self.names[i] else 2 * n > total)}
+        mains, articles = self.holders["main"], self.holders["article"]
+        for names in mains if mains else articles if all(articles) else ():
+            misled |= {i for i in names if not self.names[i]}
+        for x in self.lines:
+            x.beside |= not misled.issuperset(x.named)
+        return self.lines
 
     def end(self, tag: str) -> None:
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), -1)
@@ -98,9 +142,9 @@ class Reader:
             if tag not in INLINE:
                 self.flush()
             return
-        if tag in INLINE and any(t not in INLINE for t, _, _ in self.open[at + 1 :]):
+        if tag in INLINE and any(x[0] not in INLINE for x in self.open[at + 1 :]):
             return  # a stray end does not close blocks
-        if tag in INLINE and self.open[at][1] == (self.open[at - 1][1] if at else False):
+        if tag in INLINE and self.open[at][1::2] == (self.open[at - 1][1::2] if at else (False, ())):
             del self.open[at:]
         else:
             self.pop(at)
@@ -116,21 +160,32 @@ def is_beside(tag: str, attributes: str, inside: bool) -> bool:
         name, value = name.lower(), "".join(values)
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ARTICLE and any(p.lower() in NAMES for p in PARTS.findall(value)):
-            return True
         if name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub(" ", attributes)))
 
 
+def told_by_name(attributes: str) -> set[str]:
+    """The words of NAMES in class and id."""
+    out = set()
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for token in "".join(values).split():
+                words = [p.lower() for p in PARTS.findall(token)]
+                for before, word in zip(["", *words], words):
+                    if word in NAMES and before not in LAYOUT and not (word == "header" and before in OWN_HEADER):
+                        out.add(word)
+    return out
+
+
 def lines_of(page: str) -> list[Line]:
     reader, at = Reader(), 0
     while at < len(page):
         m = TOKEN.search(page, at)
         if not m:
-            reader.text.append(page[at:])
+            reader.write(page[at:])
             break
-        reader.text.append(page[at : m.start()])
+        reader.write(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -143,7 +198,7 @@ def lines_of(page: str) -> list[Line]:
             close = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
             at = close.start() if close else len(page)
     reader.flush()
-    return reader.lines
+    return reader.resolved()
 
 
 def main_text(page: str | None) -> str:
@@ -157,8 +212,8 @@ def main_text(page: str | None) -> str:
     home = {lines[i].article for i in range(*best) if length[i]} - {0}
     if home:  # an article's text may be cut by adverts longer than a window
         kept = [i for i, x in enumerate(lines) if x.article in home]
-    else:  # what stands apart from most of the text belongs to it if it holds a sentence
-        told = (s for s in stretches if s == best or any(length[i] and SENTENCE.search(lines[i].text) for i in range(*s)))
+    else:  # what stands apart from most of the text belongs to it if it holds a sentence or heading
+        told = (s for s in stretches if s == best or any(length[i] and (lines[i].heading or SENTENCE.search(lines[i].text)) for i in range(*s)))
         kept = [i for s in told for i in range(*s)]
     return "\n\n".join(lines[i].text for i in kept if length[i])
 

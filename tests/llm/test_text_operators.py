@@ -119,6 +119,25 @@ def test_html():
     assert html_text.main_text("<div><p>A b c.</p><div class='cookie-notice'>x</div><p>D e f.</p></div>") == "A b c.\n\nD e f."
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='content no-sidebar'>{}</div>", "<div id='page' class='with-sidebar'>{}</div>", "<div class='has-ads'>{}</div>", "<div class='page sidebar'><main>{}</main></div><p>Short.</p>",
+    "<div class='banner'><article>{}</article></div><p>Some other text stands here, and it is longer than the article's is, as it happens, by some words, of which there are many more.</p>",
+    "<div class='widget social'>{}</div>", "<html><head><meta charset=utf-8><title>no</title><body>{}", "<head><link rel=x><script>a</script>{}", "<section id='comments'>{}</section>"])
+def test_html_misleading_wrappers(page):
+    assert html_text.main_text(page.format("<h1>Title here</h1><p>The article's own text is a good deal longer.</p>")) == "Title here\n\nThe article's own text is a good deal longer."
+
+
+def test_html_stretches():
+    ads = "<div class='ad'>Buy</div>" * 3
+    text = "<p>A long text of the page that is by far the longest here, so it is the best.</p>"
+    body = "A long text of the page that is by far the longest here, so it is the best."
+    assert html_text.main_text(f"<div class='entry-header'><h1>Own title</h1></div>{ads}{text}") == f"Own title\n\n{body}"
+    for other in ("短い文です。", "यह एक वाक्य है।", "هل هذا نص؟"):
+        assert html_text.main_text(f"<p>{other}</p>{ads}{text}") == f"{other}\n\n{body}"
+    assert html_text.main_text(f"<p>x | y</p>{ads}{text}") == body
+    assert html_text.main_text(f"{text}<section id='comments'><article><p>{'Readers say more. ' * 20}</p></article></section>") == body
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, "<p>a  b</p>"), (None, "u", "")], "page_id long, url string, html string")
     assert {tuple(r) for r in html_text.extracted(pages).collect()} == {(1, "u", "", 0), (2, None, "a b", 3), (None, "u", "", 0)}
