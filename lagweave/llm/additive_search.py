@@ -94,6 +94,13 @@ def blocks(rows: DataFrame, size: int, books: Codebooks | None) -> DataFrame:
     return saved(rows.mapInArrow(run, schema), "blocks")
 
 
+def best_of_each(ids: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of the best score of each id, the best first: a repeated vec_id counts once."""
+    order = np.lexsort((ids, -score))
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)]
+
+
 def best_pairs(books: Codebooks, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, rest: np.ndarray, k: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of each query's k best rows: exact scores of the best by upper bound."""
     words = books.words.astype(np.float64)
@@ -110,15 +117,13 @@ def best_pairs(books: Codebooks, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarr
         edge = guess[i][rows].min()
         score = (x[rows] * q[i]).sum(1)
         fits = ids[rows] != q_ids[i]
-        top = np.sort(score[fits])[-k:]
-        if depth < len(x) and len(top) and (len(top) < k or top[0] <= edge):  # equal or better rows may be left
-            rows = np.flatnonzero(guess[i] >= (top[0] if len(top) == k else -np.inf))
+        top = score[fits][best_of_each(ids[rows][fits], score[fits])[:k]]
+        if depth < len(x) and (len(top) < k or top[-1] <= edge):  # equal or better rows may be left
+            rows = np.flatnonzero(guess[i] >= (top[-1] if len(top) == k else -np.inf))
             score = (x[rows] * q[i]).sum(1)
             fits = ids[rows] != q_ids[i]
         rows, score = rows[fits], score[fits]
-        order = np.lexsort((ids[rows], -score))
-        _, first = np.unique(ids[rows][order], return_index=True)  # a repeated vec_id counts once, by its best
-        order = order[np.sort(first)][:k]
+        order = best_of_each(ids[rows], score)[:k]
         out.append((np.full(len(order), i), rows[order], score[order]))
     return tuple(np.concatenate(x) if out else np.zeros(0, int) for x in zip(*out, strict=True))
 

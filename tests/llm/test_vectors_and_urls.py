@@ -45,6 +45,18 @@ def test_search_odd_rows(spark):
     assert additive_search.nearest(v.where("false"), v.where("false")).count() == 0
 
 
+def test_search_counts_ids_not_rows():
+    r = np.random.default_rng(3)
+    own = r.normal(size=(60, 8))
+    x, ids = np.repeat(own, 20, axis=0), np.repeat(np.arange(60), 20)
+    books = additive_search.fitted(x.astype(np.float32), 4, 16)
+    codes, near = books.encode(x.astype(np.float32))
+    rest = np.sqrt(((x - near) ** 2).sum(1)) + 1e-6
+    for q, me in ((own[0], 0), (own[:20].mean(0), -1)):
+        _, row, _ = additive_search.best_pairs(books, np.array([me]), q[None], ids, x, codes, rest, 30, 400)
+        assert ids[row].tolist() == [i for i in np.argsort(-(own @ q), kind="stable").tolist() if i != me][:30]
+
+
 def test_beam_search_codes():
     x = np.random.default_rng(0).normal(size=(500, 8)).astype(np.float32)
     books = additive_search.fitted(x, 4, 16)
