@@ -74,16 +74,17 @@ class LanguageModel:
 def fit(labelled: DataFrame, documents_a_language: int = 400, smoothing: float = 0.5) -> LanguageModel:
     """Learns from (text, lang) rows with non-null lang.
 
-    A language counts with at most documents_a_language of its documents, those of the smallest
-    hashes of their texts; these are read whole. The sample is the bound of what is counted; rows
+    A language counts with at most documents_a_language of its different texts, those of the smallest
+    hashes; these are read whole. The sample is the bound of what is counted; rows
     are never collected, and what reaches the driver is a count per language and n-gram bucket.
     """
     rows = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     # A threshold takes about 1.5 times the documents wanted, so the exact choice sorts few rows.
-    cut = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    cut = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
     cut = cut.select("lang", F.least(F.lit(1.0), F.lit(1.5 * documents_a_language) / F.col("n")).alias("share"))
     cut = saved(cut, "shares")
     near = rows.join(F.broadcast(cut) if cut.count() <= FEW_LANGUAGES else cut, "lang").where("(h / 9223372036854775807.0 + 1) / 2 <= share")
+    near = near.groupBy("lang", "h").agg(F.first("text").alias("text"))  # copies count once
     chosen = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= documents_a_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

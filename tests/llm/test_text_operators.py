@@ -400,6 +400,15 @@ def test_language(spark):
     assert {r["__lang_pred"] for r in language.predicted(odd, nothing).collect()} == {"und"}
 
 
+def test_copies_count_once_in_the_model(spark):
+    r = random.Random(11)
+    texts = ["".join(r.choice("abcdefghij ") for _ in range(80)) for _ in range(60)]
+    once = spark.createDataFrame([(t, "x") for t in texts] + [("zz yy", "y")], "text string, lang string")
+    copies = once.union(spark.createDataFrame([(t, "x") for t in texts[:30] for _ in range(20)], "text string, lang string"))
+    for n in (10, 25):
+        np.testing.assert_array_equal(language.fit(once, n).weights, language.fit(copies, n).weights)
+
+
 def brute_mixture(like, rounds):
     share = np.full(like.shape[1], 1 / like.shape[1])
     for _ in range(rounds):
