@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -476,12 +477,24 @@ PLANE = "sin(2 * pi() * i / 5) * sin(2 * pi() * j / 8)"
 GRID = "(SELECT CAST(unnest(range(1, {0} + 1)) AS BIGINT) AS i), (SELECT CAST(unnest(range(1, {1} + 1)) AS BIGINT) AS j)"
 
 
+def unreached(rows: int, columns: int, window: np.ndarray) -> list[tuple[int, int]]:
+    """Cells, from 1, of a field that no position of the window covers."""
+    reached = np.zeros((rows, columns), bool)
+    for a in range(rows - window.shape[0] + 1):
+        for b in range(columns - window.shape[1] + 1):
+            reached[a : a + window.shape[0], b : b + window.shape[1]] |= window
+    return [(i + 1, j + 1) for i, j in np.argwhere(~reached).tolist()]
+
+
 @query(f"SELECT 'f' AS field_id, 'F1' AS grp, i, j, round({PLANE}, 6) + 0.0 AS value FROM {GRID.format(30, 28)}")
 def ssa2d_circle(spark, sf_dir):
     f = S.analytic_field(spark, 30, 28, PLANE)
     m = SSA(f, kind="nd", key="field_id", coords=("i", "j"), window=circle(6), count=6)
-    covered = m.reconstruct([[1, 2, 3, 4]])  # corners that no circle reaches are null
-    return covered.select("field_id", "grp", "i", "j", rounded(F.coalesce("value", F.expr(PLANE))).alias("value"))
+    cells = m.reconstruct([[1, 2, 3, 4]])
+    # The SQL has all cells: only the corners that no circle reaches are filled by its formula, other nulls stay.
+    corner = " or ".join(f"i = {i} and j = {j}" for i, j in unreached(30, 28, circle(6)))
+    value = F.expr(f"case when value is null and ({corner}) then {PLANE} else value end")
+    return cells.select("field_id", "grp", "i", "j", rounded(value).alias("value"))
 
 
 @query("SELECT * FROM (VALUES ('1', 5.0::DOUBLE), ('1', 5.0), ('1', -5.0), ('1', -5.0), ('2', 8.0), ('2', 8.0), ('2', -8.0), ('2', -8.0)) v(dim, period)")

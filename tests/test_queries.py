@@ -25,6 +25,19 @@ def plain(v):
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
 
+def test_lost_cells_of_circles_show(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lagweave.operators.model import SSA
+
+    whole = SSA.reconstruct
+    monkeypatch.setattr(SSA, "reconstruct", lambda self, *a: whole(self, *a).withColumn("value", F.lit(None).cast("double")))
+    n = QUERIES["ssa2d_circle"](spark, SF).where("value is null").count()
+    monkeypatch.undo()
+    rows = QUERIES["ssa2d_circle"](spark, SF)
+    assert 0.9 * 30 * 28 < n < 30 * 28 == rows.where("value is not null").count()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
