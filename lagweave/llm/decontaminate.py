@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.shared import LETTERS_DIGITS, OTHER_POWERS, Words, binary_array, list_array, range_hashes, saved, slices, windows
+from lagweave.llm.shared import LETTERS_DIGITS, TWO, Words, binary_array, gram_hashes, grams_at, list_array, saved, slices, windows
 
 GRAM, PARTS_A_PASS = 5, 4
 
@@ -51,11 +51,11 @@ class Part:
 
     def __init__(self, ids: list[str], texts: list[str], window: int):
         w = Words(pa.array(texts, pa.large_string()), LETTERS_DIGITS)
-        one, two = w.hashes(), w.hashes(OTHER_POWERS)
+        one, two = w.hashes(), w.hashes(TWO)
         self.ids, self.window, self.short = ids, window, {}
         long = w.counts >= window
         start, text = windows(np.where(long, w.counts, 0), w.first, GRAM)
-        grams = range_hashes(one, start, start + GRAM)
+        grams = gram_hashes(one, GRAM)[start]
         self.grams = np.unique(grams[kept_grams(grams, text, window - GRAM + 1)])
         start, text = windows(np.where(long, w.counts, 0), w.first, window)
         self.windows = self.table(one, two, start, window, text)
@@ -66,7 +66,7 @@ class Part:
     @staticmethod
     def table(one: np.ndarray, two: np.ndarray, start: np.ndarray, length: int, text: np.ndarray) -> tuple[np.ndarray, ...]:
         """Distinct (window, item) sorted by the first hash: both hashes and the item."""
-        rows = np.unique(np.stack([range_hashes(one, start, start + length), range_hashes(two, start, start + length, OTHER_POWERS), text.astype(np.uint64)], 1), axis=0)
+        rows = np.unique(np.stack([grams_at(one, start, length), grams_at(two, start, length), text.astype(np.uint64)], 1), axis=0)
         return rows[:, 0].copy(), rows[:, 1].copy(), rows[:, 2].astype(np.int64)
 
     def found(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,7 +76,7 @@ class Part:
         pairs = []
         if len(self.windows[0]):
             start, text = windows(np.where(w.counts >= self.window, w.counts, 0), w.first, GRAM)
-            grams = range_hashes(one, start, start + GRAM)
+            grams = gram_hashes(one, GRAM)[start]
             kept = kept_grams(grams, text, self.window - GRAM + 1)
             kept = kept[isin_sorted(grams[kept], self.grams)]
             around = (start[kept][:, None] - np.arange(self.window - GRAM + 1)[None, :]).ravel()
@@ -85,13 +85,13 @@ class Part:
             around, unique = np.unique(around[inside], return_index=True)
             text = text[inside][unique]
             if len(around):
-                two = w.hashes(OTHER_POWERS)
+                two = w.hashes(TWO)
                 pairs.append(self.matches(self.windows, one, two, around, text, self.window, hit))
         for m, table in self.short.items():
             start, text = windows(np.where(w.counts >= m, w.counts, 0), w.first, m)
-            near = isin_sorted(range_hashes(one, start, start + m), table[0])
+            near = isin_sorted(gram_hashes(one, m)[start], table[0])
             if near.any():
-                two = w.hashes(OTHER_POWERS) if two is None else two
+                two = w.hashes(TWO) if two is None else two
                 pairs.append(self.matches(table, one, two, start[near], text[near], m, hit))
         pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
         return np.cumsum(hit)[:-1] > 0, pairs[:, 0], pairs[:, 1]
@@ -99,7 +99,7 @@ class Part:
     @staticmethod
     def matches(table: tuple[np.ndarray, ...], one: np.ndarray, two: np.ndarray, start: np.ndarray, text: np.ndarray, length: int, hit: np.ndarray) -> np.ndarray:
         first, second, item = table
-        a, b = range_hashes(one, start, start + length), range_hashes(two, start, start + length, OTHER_POWERS)
+        a, b = grams_at(one, start, length), grams_at(two, start, length)
         lo, hi = np.searchsorted(first, a), np.searchsorted(first, a, "right")
         n = hi - lo
         which = np.repeat(np.arange(len(a)), n)

@@ -19,9 +19,12 @@ CHUNK_BYTES = 1 << 20
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local one is set only where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir; a local one is set only where that is unset and
+    Spark runs on this machine alone (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lagweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -37,8 +40,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 # --- hashing --------------------------------------------------------------------------------
 
-MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-SECOND_MULTIPLIER = 0xD6E8FEB86659FD93 | 1
+GOLDEN = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
 
@@ -53,31 +55,81 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Powers:
-    """Growing tables of m**i and m**-i modulo 2**64."""
+class Places:
+    """Growing table of one pseudo-random number for each place in a sequence."""
 
-    def __init__(self, multiplier: int = MULTIPLIER):
-        self.m, self.inv = multiplier, pow(multiplier, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
+    def __init__(self, seed: int):
+        self.seed, self.table = seed, np.zeros(0, U64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U64(pow(self.m, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * U64(pow(self.inv, k, 1 << 64))])
-        return self.up[:n], self.down[:n]
+    def upto(self, n: int) -> np.ndarray:
+        if n > len(self.table):
+            self.table = mix(np.arange(1, max(n, 2 * len(self.table)) + 1, dtype=U64) * U64(GOLDEN) + U64(self.seed))
+        return self.table
 
 
-POWERS = Powers()
-OTHER_POWERS = Powers(SECOND_MULTIPLIER)
+#: Two families of hashes that are independent of each other.
+ONE, TWO = Places(0), Places(0xD6E8FEB86659FD93)
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
-    """Order-sensitive hash of values[s:e] for each range; depends on the content alone."""
-    up, down = powers.upto(len(values) + 1)
-    sums = np.zeros(len(values) + 1, U64)
-    np.cumsum(values.astype(U64) * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D))
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices begin[i], begin[i] + 1, ... of all ranges."""
+    total = int(size.sum())
+    return np.arange(total) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: Places = ONE, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Order-sensitive hash of values[s:e] for each range; depends on the content alone.
+
+    Each value is mixed with its place before the sum, so no pattern of values cancels out.
+    lengths: told apart besides the content; by default the numbers of values.
+    """
+    size = ends - starts
+    out, some = np.zeros(len(starts), U64), size > 0
+    if some.any():
+        at = ragged(np.zeros_like(size), size)
+        terms = mix(values[at + np.repeat(starts, size)].astype(U64) ^ places.upto(int(size.max()))[at])
+        out[some] = np.add.reduceat(terms, (np.cumsum(size) - size)[some])
+    return mix(out + (size if lengths is None else lengths).astype(U64) * U64(0x2545F4914F6CDD1D))
+
+
+def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """Order-sensitive hashes of all k successive values along the last axis, by repeated doubling."""
+    if values.shape[-1] < k:
+        return np.zeros((*values.shape[:-1], 0), U64)
+    out, span = values, 1
+    for bit in bin(k)[3:]:
+        out, span = paired(out[..., : out.shape[-1] - span], out[..., span:]), 2 * span
+        if bit == "1":
+            out, span = paired(out[..., :-1], values[..., span:]), span + 1
+    return out
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * U64(GOLDEN) + b * U64(0xC2B2AE3D27D4EB4F))
+
+
+def grams_at(values: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """gram_hashes at some places only."""
+    return gram_hashes(values[starts[:, None] + np.arange(k)], k)[:, 0]
+
+
+TAILS = np.array([MASK >> (64 - 8 * n) if n else 0 for n in range(9)], U64)
+
+
+def byte_chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each range as 64-bit numbers of eight bytes, zeros behind the last, flat with offsets."""
+    size = (ends - starts + 7) >> 3
+    first = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(starts, size) + 8 * ragged(np.zeros_like(size), size)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    return eight[at] & TAILS[np.minimum(np.repeat(ends, size) - at, 8)], first
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: Places = ONE) -> np.ndarray:
+    """Hashes of ranges of bytes."""
+    chunks, first = byte_chunks(data, starts, ends)
+    return range_hashes(chunks, first[:-1], first[1:], places, ends - starts)
 
 
 # --- words ----------------------------------------------------------------------------------
@@ -120,8 +172,8 @@ class Words:
         self.first = np.searchsorted(self.starts, self.bounds)
         self.counts = np.diff(self.first)
 
-    def hashes(self, powers: Powers = POWERS) -> np.ndarray:
-        return range_hashes(self.data, self.starts, self.ends, powers)
+    def hashes(self, places: Places = ONE) -> np.ndarray:
+        return byte_hashes(self.data, self.starts, self.ends, places)
 
 
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,9 +217,12 @@ def windows(counts: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def distinct_per_text(values: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values of each text, flat, and the offsets of the texts."""
-    order = np.lexsort((values, text))
-    values, text = values[order], text[order]
+    """Sorted distinct values of each text, flat, and the offsets of the texts. text ascends."""
+    values = values.copy()
+    cuts = np.searchsorted(text, np.arange(n + 1)).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a > 1:
+            values[a:b].sort()
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
     values, text = values[new], text[new]
@@ -178,9 +233,11 @@ def shingle_sets(texts: pa.Array, k: int, word_bytes: np.ndarray = NOT_SPACE) ->
     """Sorted distinct k-word shingle hashes of each text, flat, with offsets."""
     w = Words(texts, word_bytes)
     start, text = windows(w.counts, w.first, k)
-    end = np.minimum(start + k, w.first[1:][text])
-    values, offsets = distinct_per_text(range_hashes(w.hashes(), start, end), text, w.n)
-    return values, offsets, w
+    words = w.hashes()
+    values, short = np.zeros(len(start), U64), w.counts[text] < k
+    values[~short] = gram_hashes(words, k)[start[~short]]
+    values[short] = range_hashes(words, start[short], w.first[1:][text[short]])
+    return *distinct_per_text(values, text, w.n), w
 
 
 def set_hashes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -278,17 +335,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 # --- results kept by word -------------------------------------------------------------------
 
 
-def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The indices begin[i], begin[i] + 1, ... of all ranges."""
-    total = int(size.sum())
-    return np.arange(total) + np.repeat(begin - (np.cumsum(size) - size), size)
-
-
 class WordStore:
     """Ids of words, found by the words' 64-bit hashes in flat open-addressing arrays.
 
-    encode: gives the ids of new words, flat, and their numbers. Emptied when it holds `most` words,
-    so memory is bounded; what it returns does not depend on what it holds.
+    A word found is compared byte by byte; one that only has the hash of another goes on to a hash of
+    that hash. encode: gives the ids of new words, flat, and their numbers. Emptied when it holds
+    `most` words or as many times four chunks of eight bytes, so memory is bounded; what it returns
+    does not depend on what it holds.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_200_000):
@@ -299,10 +352,11 @@ class WordStore:
         self.bits = 16
         self.keys, self.values = np.zeros(1 << self.bits, U64), np.full(1 << self.bits, -1, np.int32)
         self.words, self.used, self.flat = 0, 0, np.zeros(1 << 18, np.int32)
-        self.ends = np.zeros(1 << 17, np.int64)
+        self.ends, self.sizes = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
+        self.chunk_ends, self.chunks = np.zeros(1 << 17, np.int64), np.zeros(1 << 18, U64)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * U64(MULTIPLIER) >> U64(64 - self.bits)).astype(np.int64)
+        return (keys * U64(GOLDEN) >> U64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         slot, mask = self.slots(keys), (1 << self.bits) - 1
@@ -326,44 +380,75 @@ class WordStore:
             self.keys[slot[won]] = keys[won]
             keys, values, slot = keys[~won], values[~won], (slot[~won] + 1) & mask
 
-    def places(self, keys: np.ndarray, spell: Callable[[np.ndarray], list[str]]) -> np.ndarray:
-        """Numbers of the words in the store. spell: gives the words at some indices."""
-        place = self.find(keys)
-        missing = np.flatnonzero(place < 0)
-        if not len(missing):
-            return place
-        new, first = np.unique(keys[missing], return_index=True)
-        if self.words and self.words + len(new) > self.most:
-            self.clear()
-            return self.places(keys, spell)
-        ids, sizes = self.encode(spell(missing[first]))
-        n, m = self.words + len(new), self.used + len(ids)
-        while n > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        while m > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.ends[self.words : n] = self.used + np.cumsum(sizes)
+    def begins(self, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.where(place > 0, ends[place - 1], 0)
+
+    def places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tidy: Callable[[str], str] = str) -> np.ndarray:
+        """Numbers of the words (ranges of bytes, none empty) in the store."""
+        chunks, first = byte_chunks(data, starts, ends)
+        size, count = ends - starts, np.diff(first)
+        keys = range_hashes(chunks, first[:-1], first[1:], ONE, size)
+        place, todo = np.zeros(len(starts), np.int32), np.arange(len(starts))
+        while len(todo):
+            at = self.find(keys[todo])
+            missing = todo[at < 0]
+            if len(missing):
+                new, one = np.unique(keys[missing], return_index=True)
+                one = missing[one]
+                full = self.words + len(new) > self.most or len(self.chunks) > 4 * self.most
+                if full and self.words and len(todo) == len(place):
+                    self.clear()
+                    continue
+                self.add(new, size[one], count[one], chunks[ragged(first[one], count[one])], [tidy(w) for w in spelled(data, starts[one], ends[one])])
+                at = self.find(keys[todo])
+            same = self.sizes[at] == size[todo]
+            some = np.flatnonzero(same)
+            if len(some):
+                n = count[todo[some]]
+                equal = chunks[ragged(first[todo[some]], n)] == self.chunks[ragged(self.begins(self.chunk_ends, at[some]), n)]
+                same[some] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+            place[todo[same]] = at[same]
+            todo = todo[~same]
+            keys[todo] = mix(keys[todo] + U64(1))
+        return place
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, counts: np.ndarray, chunks: np.ndarray, words: list[str]) -> None:
+        """New words: their keys, sizes in bytes, numbers of chunks, and chunks."""
+        ids, ids_each = self.encode(words)
+        n, m, c = self.words + len(keys), self.used + len(ids), int(self.chunk_ends[self.words - 1]) if self.words else 0
+        self.ends, self.sizes, self.chunk_ends = (grown(x, n) for x in (self.ends, self.sizes, self.chunk_ends))
+        self.flat, self.chunks = grown(self.flat, m), grown(self.chunks, c + len(chunks))
+        self.ends[self.words : n] = self.used + np.cumsum(ids_each)
         self.flat[self.used : m] = ids
+        self.sizes[self.words : n] = sizes
+        self.chunk_ends[self.words : n] = c + np.cumsum(counts)
+        self.chunks[c : c + len(chunks)] = chunks
         if 2 * n > len(self.keys):
             old = self.values >= 0
             keys_, values_ = self.keys[old], self.values[old]
             self.bits = int(4 * n).bit_length()
             self.keys, self.values = np.zeros(1 << self.bits, U64), np.full(1 << self.bits, -1, np.int32)
             self.insert(keys_, values_)
-        self.insert(new, np.arange(self.words, n, dtype=np.int32))
+        self.insert(keys, np.arange(self.words, n, dtype=np.int32))
         self.words, self.used = n, m
-        place[missing] = self.find(keys[missing])
-        return place
 
     def ids(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words at the places, flat, and the number of each."""
         if not len(place):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        begin = np.where(place > 0, self.ends[place - 1], 0)
+        begin = self.begins(self.ends, place)
         size = self.ends[place] - begin
         return self.flat[ragged(begin, size)], size
 
 
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    """x, or a longer copy by doubling, of n entries at least."""
+    size = len(x)
+    while size < n:
+        size *= 2
+    return x if size == len(x) else np.concatenate([x, np.zeros(size - len(x), x.dtype)])
+
+
 def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
     """The strings at ranges of bytes."""
     size = ends - starts
@@ -378,7 +463,6 @@ def encoded_words(store: WordStore, data: np.ndarray, bounds: np.ndarray, begins
     data: bytes of all texts, text i from bounds[i] on; begins: flags of the bytes where words begin.
     """
     starts = np.flatnonzero(begins)
-    ends = np.append(starts[1:], len(data))
-    place = store.places(range_hashes(data, starts, ends), lambda at: [tidy(w) for w in spelled(data, starts[at], ends[at])])
-    ids, size = store.ids(place)
+    ends = np.append(starts[1:], len(data))[: len(starts)]
+    ids, size = store.ids(store.places(data, starts, ends, tidy))
     return ids, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, bounds[1:])]

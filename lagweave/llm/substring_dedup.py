@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagweave.llm.jaccard_join import listed
-from lagweave.llm.shared import MASK, NOT_SPACE, U64, Sieve, Words, binary_array, distinct_per_text, list_array, mix, parted, range_hashes, saved, set_hashes, slices
+from lagweave.llm.shared import MASK, NOT_SPACE, U64, Sieve, Words, binary_array, distinct_per_text, gram_hashes, list_array, mix, parted, range_hashes, saved, set_hashes, slices
 from lagweave.llm.similar import resolve
 
 ROWS, SHORT, GAP = 3, 4, 10
@@ -90,7 +90,7 @@ class Pieces:
         n = np.maximum(self.w.counts - k + 1, 0)
         text = np.repeat(np.arange(len(n)), n)
         at = self.w.first[:-1][text] + np.arange(len(text)) - (np.cumsum(n) - n)[text]
-        return at, text, range_hashes(self.hash, at, at + k)
+        return at, text, gram_hashes(self.hash, k)[at]
 
     @staticmethod
     def fingerprints(text: np.ndarray, hashes: np.ndarray, window: int) -> np.ndarray:
@@ -117,7 +117,7 @@ class Pieces:
         n = end - start - k + 1
         who = np.repeat(np.arange(len(n)), n)
         at = start[who] + np.arange(int(n.sum())) - (np.cumsum(n) - n)[who]
-        return distinct_per_text(range_hashes(self.hash, at, at + k), who, len(n))
+        return distinct_per_text(gram_hashes(self.hash, k)[at], who, len(n))
 
 
 def sliding(x: np.ndarray, window: int, f: np.ufunc) -> np.ndarray:
