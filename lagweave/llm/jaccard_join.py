@@ -5,15 +5,16 @@ have sizes s <= t <= 100 s / p, and share a subset of ceil(p (s + t) / (100 + p)
 
 * Light sets (size up to a boundary): every subset of each size that such an overlap can have is
   enumerated and hashed; similar sets share one of these keys.
-* Heavy sets: sizes are cut into intervals [l, 100 l / p]. For the sizes of an interval and the one
-  before it, the items' hash range is cut into d + 1 + e segments, d being the largest symmetric
-  difference allowed. e bounds the empty ones but for rare sets. Similar sets agree in 1 + e segments at least, so scanning the inverted
-  lists of segments finds them; a set with more than e empty segments enters those too. A
-  segment holds several items, so a frequent n-gram makes no long list.
+* Heavy sets: inverted lists of items are scanned. In one order of all items, similar sets share one
+  of their first s - ceil(p s / 100) + 1 items, so only these enter lists. The order puts frequent
+  items last, which keeps the lists short: a passage that many documents share is scanned only for
+  sets that hold little else.
 * The boundary is chosen by cost: the largest size up to which the subset keys of a set cost no more
-  than its segment keys, each of which counts SCAN_COST times. Sets near it are entered in both.
+  than its list entries, each of which counts SCAN_COST times. Sets near it are entered in both.
 
-Candidates are resolved exactly in `similar.py`; equal sets are one node from the start.
+Any order gives the same result; its cost alone rests on which items count as frequent. These are
+told from the sets of one text hash in SHARE, and a bitmap of bounded size keeps them. Candidates are
+resolved exactly in `similar.py`; equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -21,19 +22,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import ceil, comb, exp, sqrt
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.shared import U64, Sieve, list_array, binary_array, mix, saved, set_hashes, shingle_sets, slices
-from lagweave.llm.similar import resolve
+from lagweave.llm.shared import U64, Sieve, binary_array, list_array, mix, saved, set_hashes, shingle_sets, slices
+from lagweave.llm.similar import resolve, sketches
 
-
-SPARE, SCAN_COST = 2, 4
+SCAN_COST = 4
+#: Items are frequent that OFTEN sets have, of those of one text hash in SHARE; MOST of them are kept.
+SHARE, OFTEN, MOST = 32, 3, 1 << 23
 
 
 def smallest_partner(s: int, percent: int) -> int:
@@ -44,40 +46,13 @@ def subset_keys(s: int, percent: int) -> int:
     return sum(comb(s, k) for k in range(s - smallest_partner(s, percent) + 1))
 
 
-def spare(low: int, d: int) -> int:
-    """Segments beyond d + 1: about as many as a set of `low` items leaves empty, with some room."""
-    s = SPARE
-    for _ in range(3):
-        e = (d + 1 + s) * exp(-low / (d + 1 + s))
-        s = max(SPARE, ceil(e + 2 * sqrt(e)) + 1)
-    return s
-
-
-@lru_cache(None)
-def intervals(upto: int, percent: int) -> tuple[tuple[int, int, int, int], ...]:
-    """(smallest, largest, segments, spare ones) of each interval of sizes from 1 on, and one beyond."""
-    out, low = [], 1
-    while len(out) < 2 or out[-2][1] < upto:
-        high = 100 * low // percent
-        d = 2 * high * (100 - percent) // (100 + percent)
-        extra = spare(out[-1][0] if out else low, d)  # the interval before is in these segments too
-        out.append((low, high, d + 1 + extra, extra))
-        low = high + 1
-    return tuple(out)
-
-
-def segment_keys(s: int, percent: int) -> int:
-    parts = intervals(s, percent)
-    k = next(i for i, (a, b, *_) in enumerate(parts) if a <= s <= b)
-    return parts[k][2] + parts[k + 1][2]
+def list_keys(s: int, percent: int) -> int:
+    return s - smallest_partner(s, percent) + 1
 
 
 @lru_cache(None)
 def boundary(percent: int) -> int:
-    s = 1
-    while s < 64 and subset_keys(s + 1, percent) <= SCAN_COST * segment_keys(s + 1, percent):
-        s += 1
-    return s
+    return max(s for s in range(1, 65) if all(subset_keys(x, percent) <= SCAN_COST * list_keys(x, percent) for x in range(1, s + 1)))
 
 
 def light(items: np.ndarray, percent: int) -> np.ndarray:
@@ -91,43 +66,27 @@ def light(items: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def heavy(values: np.ndarray, owner: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the segments of sets, and the keys' owners. owner: of each value, ascending."""
-    if not len(values):
-        return np.zeros(0, U64), np.zeros(0, int)
-    parts = intervals(int(sizes.max()), percent)
-    at = np.searchsorted([p[1] for p in parts], sizes)
-    extra = np.array([p[3] for p in parts])
-    count, mixed, top = np.array([p[2] for p in parts]), mix(values), values >> U64(32)
-    keys, owners = [], []
-    for level in (at, at + 1):
-        m = count[level]
-        begin = np.concatenate([[0], np.cumsum(m)])
-        place = begin[:-1][owner] + ((top * m[owner].astype(U64)) >> U64(32)).astype(np.int64)
-        new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        sums = np.zeros(begin[-1], U64)
-        sums[place[new]] = np.add.reduceat(mixed, new)
-        full = np.zeros(begin[-1], bool)
-        full[place[new]] = True
-        who = np.repeat(np.arange(len(sizes)), m)
-        sparse = np.add.reduceat(~full, begin[:-1], dtype=np.int64) > extra[level]
-        kept = full | sparse[who]
-        segment = (np.arange(begin[-1]) - begin[:-1][who])[kept].astype(U64)
-        who = who[kept]
-        keys.append(mix(mix(sums[kept]) + segment * U64(0x9FB21C651E98DF25) + level[who].astype(U64) * U64(0xA0761D6478BD642F)))
-        owners.append(who)
-    return np.concatenate(keys), np.concatenate(owners)
-
-
-def set_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def heavy(values: np.ndarray, offsets: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The items of each set that enter lists, and their owners. values ascend within a set; often:
+    flags of frequent items, which come after all others."""
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    rare = np.concatenate([[0], np.cumsum(~often)])
+    before = rare[:-1] - rare[offsets[:-1]][owner]  # rare ones of the set before each place
+    inside = np.arange(len(values)) - offsets[:-1][owner]
+    rank = np.where(often, (rare[offsets[1:]] - rare[offsets[:-1]])[owner] + inside - before, before)
+    kept = rank < (sizes + (-percent * sizes // 100) + 1)[owner]
+    return mix(values[kept] ^ U64(0x9FB21C651E98DF25)), owner[kept]
+
+
+def set_keys(values: np.ndarray, offsets: np.ndarray, percent: int, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Candidate keys of all sets, flat, with offsets; values ascend within a set."""
     sizes = np.diff(offsets)
     edge = boundary(percent)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
     high = 100 * sizes > percent * edge
-    chosen = high[owner]
-    renumber = np.cumsum(high) - 1
-    k, o = heavy(values[chosen], renumber[owner[chosen]], sizes[high], percent)
+    chosen = np.repeat(high, sizes)
+    often = np.zeros(len(values), bool) if often is None else often
+    k, o = heavy(values[chosen], np.concatenate([[0], np.cumsum(sizes[high])]), often[chosen], percent)
     keys, owners = [k], [np.flatnonzero(high)[o]]
     for i in np.flatnonzero((sizes > 0) & (sizes <= edge)):
         x = light(values[offsets[i] : offsets[i + 1]], percent)
@@ -138,19 +97,34 @@ def set_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.
     return keys[order], np.searchsorted(owners[order], np.arange(len(sizes) + 1))
 
 
-def keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """A written table with a row per document: doc_id, text_hash, n, node (0: empty set), keys."""
+def frequent(rows: DataFrame, words: int) -> Sieve:
+    """A sieve of frequent items. Each of the texts looked at counts once, however many copies it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_pydict({"item": shingle_sets(batch.column(0), words)[0].view(np.int64)})
+
+    some = rows.where(F.pmod("text_hash", F.lit(SHARE)) == 0).groupBy("text_hash").agg(F.first("text").alias("text"))
+    items = saved(some.select("text").mapInArrow(run, "item long").groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN), "frequent")
+    least = OFTEN
+    while items.where(F.col("n") >= least).count() > MOST:
+        least *= 2
+    return Sieve(items.where(F.col("n") >= least), "item")
+
+
+def keyed(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """A written table with a row per document: doc_id, text_hash, n, node (0: empty set), keys, sketch."""
+    sieve = frequent(rows, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             values, offsets, _ = shingle_sets(batch.column(2), words)
-            keys, places = set_keys(values, offsets, percent)
+            keys, places = set_keys(values, offsets, percent, sieve(values))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.array(set_hashes(values, offsets)), list_array(keys.view(np.int64), places, pa.int64())],
-                ["doc_id", "text_hash", "n", "node", "keys"])
+                [batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.array(set_hashes(values, offsets)), list_array(keys.view(np.int64), places, pa.int64()), sketches(values, offsets)],
+                ["doc_id", "text_hash", "n", "node", "keys", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return saved(rows.mapInArrow(run, "doc_id long, text_hash long, n long, node long, keys array<long>"), "keyed")
+    return saved(rows.mapInArrow(run, "doc_id long, text_hash long, n long, node long, keys array<long>, sketch binary"), "keyed")
 
 
 def listed(table: DataFrame, column: str, node: str) -> DataFrame:
@@ -172,18 +146,20 @@ def listed(table: DataFrame, column: str, node: str) -> DataFrame:
     return saved(near.join(shared, "key").distinct(), "lists")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """A written table (node, items) of the wanted nodes, from the texts read again."""
-    sieve = Sieve(wanted, "node")
+def sets_of(rows: DataFrame, table: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """A written table (node, items) of the wanted nodes, from one text of each, read again."""
+    mark = F.xxhash64("doc_id", "text_hash")
+    chosen = saved(table.select("node", mark.alias("mark")).join(wanted, "node").groupBy("node").agg(F.min("mark").alias("mark")), "chosen")
+    sieve = Sieve(chosen, "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            values, offsets, _ = shingle_sets(batch.column(0), words)
-            node = set_hashes(values, offsets)
-            out = pa.RecordBatch.from_arrays([pa.array(node), binary_array(values, offsets * 8)], ["node", "items"])
-            yield out.filter(pa.array(sieve(node)))
+        for batch in batches:
+            batch = batch.filter(pa.array(sieve(batch.column(0).to_numpy())))
+            for part in slices(iter([batch])):
+                values, offsets, _ = shingle_sets(part.column(1), words)
+                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(values, offsets)), binary_array(values, offsets * 8)], ["node", "items"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, items binary")
+    found = rows.select(mark.alias("mark"), "text").mapInArrow(run, "node long, items binary")
     return saved(found.join(wanted, "node").groupBy("node").agg(F.first("items").alias("items")), "sets")
 
 
@@ -192,16 +168,20 @@ def joined(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
 
     Returns a row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by
     links, its own included), text_hash, class_id (equal sets have equal classes), group_id (equal
-    in a component). A null text
-    counts as empty; empty sets link with nothing and keep their own doc_id. Texts with fewer words
-    than a shingle have one shingle. Rows with a null doc_id take part and are never a component's
-    id; a component of such rows only has a null id. Repeated rows are alike. Other columns of docs
-    are ignored.
+    in a component). A null text counts as empty; empty sets link with nothing and keep their own
+    doc_id. Texts with fewer words than a shingle have one shingle; texts of any length are read
+    whole. Rows with a null doc_id take part and are never a component's id; a component of such
+    rows only has a null id. Repeated rows are alike. No rows give no rows. Other columns of docs are
+    ignored.
     """
-    table = keyed(docs, words, percent)
-    lists = listed(table.where("n > 0"), "keys", "node")
-    groups = resolve(lists, sets_of(docs, lists.select("node").distinct(), words), percent)
-    rows = table.drop("keys").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    out = rows.join(lowest, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    table = keyed(rows, words, percent)
+    some = table.where("n > 0")
+    lists = listed(some, "keys", "node")
+    known = some.join(lists.select("node").distinct(), "node").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    groups = resolve(lists, saved(known, "sketches"), lambda wanted: sets_of(rows, some, wanted, words), percent)
+    told = some.drop("keys", "sketch").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = told.groupBy("component").agg(F.min("doc_id").alias("lowest"))
+    told = told.join(lowest, "component").select("doc_id", "n", "lowest", "text_hash", "node", "component")
+    alone = table.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("lowest"), "text_hash", "node", F.col("node").alias("component"))
+    return told.union(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("lowest").alias("component_id"), "text_hash", F.col("node").alias("class_id"), F.col("component").alias("group_id"))

@@ -286,10 +286,15 @@ class Sieve:
         return (self.table.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
+def named(name: str) -> Column:
+    """The column of exactly that name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def parted(docs: DataFrame, mark: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """docs in two: rows whose mark (a hash) may be among the keys, and rows whose mark is not."""
     sieve = Sieve(keys, column)
-    marked = docs.select(mark.alias("__mark"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)])
+    marked = docs.select(mark.alias("__mark"), *[named(c).alias(f"__{i}") for i, c in enumerate(docs.columns)])
     schema = ", ".join(f"__{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
 
     def part(wanted: bool) -> DataFrame:

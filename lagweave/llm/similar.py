@@ -2,13 +2,18 @@
 
 Lists hold (key, node): every pair of similar nodes shares at least one key. Nothing here emits all
 pairs of a list as rows. First each list is a star around its smallest node; lists that this joins to
-one component are done. What is left is cut into blocks of bounded size, and each pair of blocks is
-compared exactly in one task, which returns a spanning set of links only.
+one component are done. In what is still open, the nodes outside a list's main component are compared
+with all others, in blocks of bounded size, each pair of blocks in one task.
+
+Whole sets are sent for few nodes only. Each node has a parity sketch: bit h(x) is flipped for each
+item x, so two sketches differ in no more bits than the sets differ in items. Pairs whose sketches
+differ in more bits than similar sets could are dropped before any set is read; all others are
+compared item by item.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.shared import components, saved
+from lagweave.llm.shared import U64, binary_array, components, saved
 
-BLOCK = 256
+LEFT, RIGHT = 256, 1024
 COLUMNS = 4096
 
 
@@ -27,6 +32,62 @@ def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> n
     return 100 * common >= percent * (a + b - common)
 
 
+# --- sketches ---
+
+
+def sketches(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Parity sketches of sets: a power of two of bits, twice the items at least."""
+    n = np.diff(offsets)
+    bits = np.left_shift(64, np.maximum(np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64) - 6, 0))
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(begin[:-1], n) + (values >> U64(11) & np.repeat(bits - 1, n).astype(U64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(begin[-1])) & 1
+    return binary_array(np.packbits(odd.astype(np.uint8), bitorder="little"), begin >> 3)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which rows of a and b (same number of rows, or one broadcast) differ; the longer are folded."""
+    while a.shape[-1] > b.shape[-1]:
+        a = a[..., : a.shape[-1] // 2] ^ a[..., a.shape[-1] // 2 :]
+    while b.shape[-1] > a.shape[-1]:
+        b = b[..., : b.shape[-1] // 2] ^ b[..., b.shape[-1] // 2 :]
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def plausible(differ: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes a and b whose sketches differ so may be similar."""
+    return ((100 + percent) * differ <= (100 - percent) * (a + b)) & (percent * np.maximum(a, b) <= 100 * np.minimum(a, b))
+
+
+def by_length(sketch: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(indices, rows of 64-bit words) of the sketches of each length."""
+    size = np.array([len(x) for x in sketch])
+    return [(at, np.frombuffer(b"".join(sketch[i] for i in at.tolist()), U64).reshape(len(at), -1)) for at in (np.flatnonzero(size == s) for s in np.unique(size))]
+
+
+def plausible_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow similarity. known: node, n, sketch."""
+    x, y = (known.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    both = pairs.join(y, "b").join(x, "a").select("a", "b", "na", "nb", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            keep = percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb)
+            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            shape = np.array([len(p) * 4096 + len(q) / 4096 for p, q in zip(left, right, strict=True)])
+            for s in np.unique(shape[keep]):
+                at = np.flatnonzero(keep & (shape == s))
+                p, q = (np.frombuffer(b"".join(z[i] for i in at.tolist()), U64).reshape(len(at), -1) for z in (left, right))
+                keep[at] = plausible(differing(p, q), na[at], nb[at], percent)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+# --- sets ---
+
+
 def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets (node, items: sorted 64-bit hashes as bytes) are similar."""
     x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
@@ -38,7 +99,8 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                n = len(np.intersect1d(p, q, assume_unique=True)) if percent * max(len(p), len(q)) <= 100 * min(len(p), len(q)) else 0
+                at = np.searchsorted(p, q)
+                n = int((p[np.minimum(at, len(p) - 1)] == q).sum()) if len(p) else 0
                 keep.append(bool(n) and bool(similar(n, len(p), len(q), percent)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -83,54 +145,62 @@ def spanning(pairs: Iterator[tuple[int, int]], label: dict[int, int]) -> list[tu
     return out
 
 
-def gathered(rows: DataFrame) -> DataFrame:
-    """Lists (key, node, component, n) that overlap become one list where that is no more work.
+# --- lists ---
+
+
+def open_lists(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, component) of the lists with several components, with main: whether the
+    component is the list's main one, that of most of its nodes. Of lists of the same nodes one stays."""
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"))
+    lists = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.sum("content").alias("content"), F.max(F.struct("m", "component")).alias("top"))
+    lists = lists.where("parts > 1").groupBy("n", "content").agg(F.min(F.struct("key", "top.component")).alias("of")).select("of.key", F.col("of.component").alias("top"))
+    return rows.join(lists, "key").select("key", "node", "component", (F.col("component") == F.col("top")).alias("main"))
 
-    Lists of one cluster hold mostly the same nodes, whose sets would be sent with each of them.
-    Lists that a chain of common nodes joins are compared as one if the square of their nodes' number
-    is at most twice the sum of the lists' squares; else each stays.
-    """
-    first = rows.groupBy("key").agg(F.min("node").alias("b"))
-    chain = saved(components(rows.join(first, "key").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "whole"), "chains")
-    linked = saved(rows.join(chain, "node", "left").withColumn("whole", F.coalesce("whole", "node")), "chained")
-    apart = linked.groupBy("whole", "key").agg(F.first("n").alias("n")).groupBy("whole").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
-    nodes = linked.select("whole", "node", "component").distinct()
-    size = nodes.groupBy("whole").agg(F.count("*").alias("size")).join(apart, "whole")
-    size = saved(size.withColumn("one", F.col("size").cast("double") * F.col("size") <= 2 * F.col("apart")), "sizes")
-    whole = nodes.join(size.where("one"), "whole").select(F.col("whole").alias("key"), "node", "component", F.col("size").alias("n"))
-    return whole.union(linked.join(size.where("not one"), "whole").select("key", "node", "component", "n"))
-
-
-def resolve(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the nodes that a chain of similar pairs joins; others do not appear.
 
-    lists: (key long, node long), distinct; sets: (node long, items binary). Both written tables.
+def blocks(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, component, main) once for each task (key, i, j) and side they take part in.
+
+    Left are the nodes outside the main component, in blocks i of about LEFT; right are all, in
+    blocks j of about RIGHT. A node's blocks follow from its hash.
     """
-    spark = lists.sparkSession
-    pivot = lists.groupBy("key").agg(F.min("node").alias("a"))
-    others = saved(lists.join(pivot, "key").where("node > a"), "others")
-    links = saved(checked(others.select("a", F.col("node").alias("b")).distinct(), sets, percent), "links")
-    joined = saved(components(links), "joined")
-    # The star has compared the smallest node with all others: it is out of what is still open.
-    labelled = others.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_ = (labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"),
-                                         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"))
-             .where("lo < hi").groupBy("n", "content").agg(F.min("key").alias("key")).select("key", "n"))
-    rows = saved(labelled.join(open_, "key"), "open")
-    if rows.isEmpty():
-        return joined
-    # A node's block follows from its hash; blocks of a list have about BLOCK nodes each.
-    rows = gathered(rows).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long"))
-    rows = rows.select("key", "node", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other"))
-    rows = rows.select("key", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = rows.join(sets, "node")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        read = lambda p: [np.frombuffer(x, np.uint64) for x in p["items"]]
-        a, b = read(left), read(right)
+    count = rows.groupBy("key").agg(F.ceil(F.count_if(~F.col("main")) / LEFT).alias("lefts"), F.ceil(F.count("*") / RIGHT).alias("rights"))
+    rows = rows.join(count.where("lefts > 0"), "key").withColumn("h", F.xxhash64("node"))
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.where("not main").select("key", "node", "component", F.lit(True).alias("left"), F.pmod("h", "lefts").alias("i"), number("rights").alias("j"))
+    right = rows.select("key", "node", "component", F.lit(False).alias("left"), number("lefts").alias("i"), F.pmod(F.shiftright("h", 20), "rights").alias("j"))
+    return left.union(right)
+
+
+def promising(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(key, node), distinct: the nodes whose sketch allows a similar node of another component in their list."""
+    dealt = blocks(rows).join(known.select("node", "n", "sketch"), "node")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["left"]], pdf[~pdf["left"]]
+        hit = [np.zeros(len(a), bool), np.zeros(len(b), bool)]
+        n, c = ([x[k].to_numpy() for x in (a, b)] for k in ("n", "component"))
+        right = by_length(b["sketch"].tolist())
+        for i, p in by_length(a["sketch"].tolist()):
+            for j, q in right:
+                step = max(1, (1 << 21) // (len(j) * max(p.shape[1], q.shape[1])))
+                for at in range(0, len(i), step):
+                    x = i[at : at + step]
+                    fits = plausible(differing(p[at : at + step, None, :], q[None, :, :]), n[0][x][:, None], n[1][j][None, :], percent)
+                    fits &= c[0][x][:, None] != c[1][j][None, :]
+                    hit[0][x] |= fits.any(1)
+                    hit[1][j] |= fits.any(0)
+        node = np.unique(np.concatenate([a["node"].to_numpy()[hit[0]], b["node"].to_numpy()[hit[1]]]))
+        return pd.DataFrame({"key": np.full(len(node), pdf["key"].iloc[0]), "node": node})
+
+    return dealt.groupBy("key", "i", "j").applyInPandas(run, "key long, node long").distinct()
+
+
+def compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each list as all its similar pairs would."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["left"]], pdf[~pdf["left"]]
+        a, b = ([np.frombuffer(x, np.uint64) for x in p["items"]] for p in (left, right))
         if not a or not b:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sizes = [np.array([len(x) for x in s]) for s in (a, b)]
@@ -141,5 +211,27 @@ def resolve(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         found = spanning(((int(p[x]), int(q[y])) for x, y in np.argwhere(fits)), label)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    more = saved(rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"), "links")
-    return saved(components(links.select("a", "b").union(more).union(joined.select("node", "component"))), "joined")
+    return blocks(rows).join(sets, "node").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def resolve(lists: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(node, component) of the nodes that a chain of similar pairs joins; others do not appear.
+
+    lists: (key long, node long), distinct; known: (node, n items, sketch) of these nodes. Both
+    written tables. sets_of: gives (node, items binary) of a written table (node) as a written table.
+    """
+    pivot = lists.groupBy("key").agg(F.min("node").alias("a"))
+    pairs = lists.join(pivot, "key").where("node > a").select("a", F.col("node").alias("b")).distinct()
+    pairs = saved(plausible_pairs(pairs, known, percent), "pairs")
+    wanted = saved(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    links = saved(checked(pairs, sets_of(wanted), percent), "links")
+    joined = saved(components(links), "joined")
+    labelled = lists.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    rows = saved(open_lists(labelled), "open")
+    rows = saved(rows.join(promising(rows, known, percent), ["key", "node"]), "promising")
+    if rows.isEmpty():
+        return joined
+    # The main component of what is left of a list may be another.
+    rows = saved(open_lists(rows.select("key", "node", "component")), "open")
+    more = saved(compared(rows, sets_of(saved(rows.select("node").distinct(), "wanted")), percent), "links")
+    return saved(components(links.union(more).union(joined.select("node", "component"))), "joined")
