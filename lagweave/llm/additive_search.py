@@ -2,10 +2,10 @@
 
 A vector is coded as a sum of codewords, one of each of several codebooks; all codewords have the
 full dimension. The codebooks are fitted one after the other to the residuals of a bounded sample,
-and the codes are found by a beam search. A row of the index keeps its codes, the norm of its
-residual and its vector. Scores of a query against all codes come from a lookup table of its inner
-products with the codewords; the residual's stored norm bounds what the code leaves out. The best by
-upper bound are scored exactly, until no bound is above the k-th exact score or the depth is reached.
+and the codes are found by a beam search. A row of the index keeps its codes, two norms and its
+vector. A query's inner products with all codewords make a lookup table; the sum of a row's entries,
+times the row's stored norm ratio, estimates its score. Of each block the rows with the best
+estimates, a small share, are scored exactly on the original vectors; nothing else is.
 
 Queries and index are cut into blocks of bounded size. Each pair of blocks is one row of a join by
 tile, scored in one task, which returns k rows a query at most.
@@ -15,16 +15,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagweave.llm.shared import saved
 
-INDEX_ROWS, QUERY_ROWS = 4096, 1024
+INDEX_ROWS, QUERY_ROWS, STEP = 4096, 1024, 128
 
 
 @dataclass
@@ -49,7 +51,7 @@ class Codebooks:
         return codes[:, 0], x - rest[:, 0]
 
 
-def fitted(sample: np.ndarray, books: int = 8, entries: int = 64, rounds: int = 6, seed: int = 7) -> Codebooks:
+def fitted(sample: np.ndarray, books: int = 16, entries: int = 256, rounds: int = 6, seed: int = 7) -> Codebooks:
     """Codebooks of a sample: k-means of the residuals that the books before leave."""
     rng, rest, words = np.random.default_rng(seed), sample.astype(np.float32), []
     for _ in range(books):
@@ -57,7 +59,9 @@ def fitted(sample: np.ndarray, books: int = 8, entries: int = 64, rounds: int =
         for _ in range(rounds):
             near = ((centres**2).sum(1)[None] - 2 * rest @ centres.T).argmin(1)
             total, count = np.zeros_like(centres), np.bincount(near, minlength=entries)
-            np.add.at(total, near, rest)
+            order = np.argsort(near, kind="stable")
+            used = np.unique(near)
+            total[used] = np.add.reduceat(rest[order], np.searchsorted(near[order], used))
             centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres)
         words.append(centres)
         rest = rest - centres[((centres**2).sum(1)[None] - 2 * rest @ centres.T).argmin(1)]
@@ -68,101 +72,136 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding (array of double) of rows that take part."""
     e = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where("vec_id is not null and embedding is not null")
-    rows = rows.where(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0))
-    return rows
+    return rows.where(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0))
 
 
-def blocks(rows: DataFrame, size: int, books: Codebooks | None) -> DataFrame:
-    """A written table of blocks: id, n, ids, vectors (float64), and with books codes and residual norms."""
-    shared = rows.sparkSession.sparkContext.broadcast(books)
+def blocks(rows: DataFrame, size: int, models: dict[int, Codebooks] | None) -> DataFrame:
+    """A written table of blocks of vectors of one length: id, d, n, ids (ascending), vectors (float64),
+    and with models codes and norms."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, part, books = 0, TaskContext.get().partitionId(), shared.value
+        number, part, models = 0, TaskContext.get().partitionId(), shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                ids = batch.column(0).slice(at, size).to_numpy()
-                x = batch.column(1).slice(at, size).flatten().to_numpy().reshape(len(ids), -1)
-                row = {"id": pa.array([part << 40 | number], pa.int64()), "n": pa.array([len(ids)], pa.int64()), "ids": [ids.tobytes()], "vectors": [x.astype("<f8").tobytes()]}
-                if books is not None:
-                    codes, near = books.encode(x.astype(np.float32))
-                    rest = np.sqrt(((x - near) ** 2).sum(1)) * (1 + 1e-6) + 1e-6
-                    row |= {"codes": [codes.tobytes()], "rest": [rest.astype("<f8").tobytes()]}
-                yield pa.RecordBatch.from_pydict(row)
-                number += 1
-
-    schema = "id long, n long, ids binary, vectors binary" + ", codes binary, rest binary" * (books is not None)
+            length = pc.list_value_length(batch.column(1)).to_numpy()
+            for d in np.unique(length).tolist():
+                own = batch.filter(pa.array(length == d))
+                for at in range(0, own.num_rows, size):
+                    ids = own.column(0).slice(at, size).to_numpy()
+                    order = np.argsort(ids, kind="stable")
+                    ids, x = ids[order], own.column(1).slice(at, size).flatten().to_numpy().reshape(len(ids), d)[order]
+                    row = {"id": pa.array([part << 40 | number], pa.int64()), "d": pa.array([d], pa.int32()), "n": pa.array([len(ids)], pa.int64()), "ids": [ids.tobytes()], "vectors": [x.astype("<f8").tobytes()]}
+                    if models is not None:
+                        codes, near = models[d].encode(x.astype(np.float32))
+                        row |= {"codes": [codes.tobytes()], "norms": [norms(x, near).astype("<f8").tobytes()]}
+                    yield pa.RecordBatch.from_pydict(row)
+                    number += 1
+
+    schema = "id long, d int, n long, ids binary, vectors binary" + ", codes binary, norms binary" * (models is not None)
     return saved(rows.mapInArrow(run, schema), "blocks")
 
 
-def best_of_each(ids: np.ndarray, score: np.ndarray) -> np.ndarray:
-    """Places of the best score of each id, the best first: a repeated vec_id counts once."""
-    order = np.lexsort((ids, -score))
-    _, first = np.unique(ids[order], return_index=True)
-    return order[np.sort(first)]
+def norms(x: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The squared norm of what a row's codes stand for, and its inner product with the vector."""
+    return np.stack([(near.astype(float) ** 2).sum(1), (x * near).sum(1)], 1)
 
 
-def best_pairs(books: Codebooks, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, rest: np.ndarray, k: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of each query's k best rows: exact scores of the best by upper bound."""
-    words = books.words.astype(np.float64)
-    tables = np.einsum("qd,bed->qbe", q, words)
-    guess = np.zeros((len(q), len(x)))
-    for b in range(len(words)):
-        guess += tables[:, b, codes[:, b]]
-    guess += np.sqrt((q**2).sum(1))[:, None] * rest[None, :]  # an upper bound of the inner product
+def estimates(books: Codebooks, q: np.ndarray, codes: np.ndarray, stored: np.ndarray) -> np.ndarray:
+    """Estimated inner products of queries (rows) with coded vectors (columns), from lookup tables.
+
+    The stored norms stretch what the codes stand for to the vector's length along it.
+    """
+    ratio = stored[:, 1] / np.where(stored[:, 0] > 0, stored[:, 0], 1)
+    tables = books.words @ q.T.astype(np.float32)  # book, entry, query
+    out = tables[0][codes[:, 0]]
+    for table, code in zip(tables[1:], codes.T[1:], strict=True):
+        out += table[code]
+    return np.ascontiguousarray((out * ratio[:, None].astype(np.float32)).T)
+
+
+def first_of(guess: np.ndarray, depth: int) -> np.ndarray:
+    """Places of each row's `depth` largest entries; of equal ones the first."""
+    if depth >= guess.shape[1]:
+        return np.broadcast_to(np.arange(guess.shape[1]), guess.shape)
+    near = np.argpartition(-guess, depth - 1, axis=1)[:, :depth]
+    edge = np.take_along_axis(guess, near, 1).min(1)
+    above, equal = guess > edge[:, None], guess == edge[:, None]
+    for i in np.flatnonzero(above.sum(1) + equal.sum(1) > depth):
+        near[i] = np.concatenate([np.flatnonzero(above[i]), np.flatnonzero(equal[i])[: depth - above[i].sum()]])
+    return near
+
+
+def best_pairs(books: Codebooks, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, stored: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, row, score) of each query's k best rows of a block, and how many were scored exactly.
+
+    ids ascend. Exact scores are of the share of rows with the best estimates, four times k at least;
+    a query for which these hold fewer than k different ids has all rows scored.
+    """
+    single = bool((ids[1:] != ids[:-1]).all())
+    different = len(ids) if single else len(np.unique(ids))
+    near = first_of(estimates(books, q, codes, stored), min(len(x), max(4 * k, ceil(share * len(x)))))
+    score = np.einsum("qrd,qd->qr", x[near], q)
+    score[ids[near] == q_ids[:, None]] = -np.inf
+    order = np.lexsort((ids[near], -score), axis=1)
+    near, score, counted = np.take_along_axis(near, order, 1), np.take_along_axis(score, order, 1), near.size
+    if single:
+        near, score = near[:, :k], score[:, :k]
+        query, at = np.nonzero(score > -np.inf)
+        return query, near[query, at], score[query, at], counted
     out = []
-    depth = min(depth, len(x))
-    near = np.argpartition(-guess, depth - 1, axis=1)[:, :depth] if depth < len(x) else np.broadcast_to(np.arange(len(x)), guess.shape)
     for i in range(len(q)):
-        rows = near[i]
-        edge = guess[i][rows].min()
-        score = (x[rows] * q[i]).sum(1)
-        fits = ids[rows] != q_ids[i]
-        top = score[fits][best_of_each(ids[rows][fits], score[fits])[:k]]
-        if depth < len(x) and (len(top) < k or top[-1] <= edge):  # equal or better rows may be left
-            rows = np.flatnonzero(guess[i] >= (top[-1] if len(top) == k else -np.inf))
-            score = (x[rows] * q[i]).sum(1)
-            fits = ids[rows] != q_ids[i]
-        rows, score = rows[fits], score[fits]
-        order = best_of_each(ids[rows], score)[:k]
-        out.append((np.full(len(order), i), rows[order], score[order]))
-    return tuple(np.concatenate(x) if out else np.zeros(0, int) for x in zip(*out, strict=True))
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, depth: int = 400, sample_rows: int = 20_000, books: int = 8, entries: int = 64, tiles: int | None = None) -> DataFrame:
+        rows, s = near[i][score[i] > -np.inf], score[i][score[i] > -np.inf]
+        first = np.sort(np.unique(ids[rows], return_index=True)[1])[:k]
+        if len(first) < min(k, different - int(q_ids[i] in ids)) and len(rows) < len(x):
+            rows = np.flatnonzero(ids != q_ids[i])
+            s, counted = x[rows] @ q[i], counted + len(rows)
+            order = np.lexsort((ids[rows], -s))
+            rows, s = rows[order], s[order]
+            first = np.sort(np.unique(ids[rows], return_index=True)[1])[:k]
+        out.append((np.full(len(first), i), rows[first], s[first]))
+    return *(np.concatenate(z) if out else np.zeros(0, int) for z in zip(*out, strict=True)), counted
+
+
+def models_of(rows: DataFrame, sample_rows: int, books: int, entries: int) -> dict[int, Codebooks]:
+    """Codebooks for each length of vectors."""
+    out, hashed = {}, rows.select("embedding", F.size("embedding").alias("d"), F.xxhash64("vec_id").alias("h"))
+    for d in sorted(r.d for r in hashed.select("d").distinct().collect()):
+        sample = hashed.where(F.col("d") == d).orderBy("h").limit(sample_rows).select("embedding").toPandas()
+        out[d] = fitted(np.stack(sample["embedding"].to_numpy()), books, entries)
+    return out
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.03, sample_rows: int = 20_000, books: int = 16, entries: int = 256, tiles: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest of all other rows of vectors.
 
     Nearness is the largest inner product, in double precision over the original vectors; equal
     scores go to the smaller vec_id. Rows with a null vec_id, a null or zero vector, or null or
-    non-finite components take no part, nor do vectors of another length than most. Rows that share
-    a vec_id count once, by the best of them, and never for a query of that vec_id. The codebooks
-    are fitted to at most sample_rows vectors, those of the smallest hashes of their ids; all rows
-    are coded. Each block scores `depth` rows exactly, and every row whose upper bound reaches the
-    k-th of these, so a block's answer is exact.
+    non-finite components take no part; a query meets the vectors of its own length. Rows that share
+    a vec_id count once, by the best of them, and never for a query of that vec_id. For each length
+    the codebooks are fitted to at most sample_rows vectors, those of the smallest hashes of their
+    ids; all rows are coded, and all codes scored. share: of each block's rows (4 k at least) are
+    scored exactly. No rows give no rows; other columns are ignored.
     """
-    rows = usable(vectors)
-    common = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if common is None:
-        return empty
-    rows, asked = rows.where(F.size("embedding") == common["d"]), usable(queries).where(F.size("embedding") == common["d"])
-    sample = rows.select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample_rows).select("embedding").toPandas()
-    model = fitted(np.stack(sample["embedding"].to_numpy()), books, entries)
-    index, wanted = blocks(rows, INDEX_ROWS, model), blocks(asked, QUERY_ROWS, None)
-    shared = vectors.sparkSession.sparkContext.broadcast(model)
+    rows, asked = usable(vectors), usable(queries)
+    models = models_of(rows, sample_rows, books, entries)
+    if not models:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = asked.where(F.size("embedding").isin(list(models)))
+    index, wanted = blocks(rows, INDEX_ROWS, models), blocks(asked, QUERY_ROWS, None)
+    shared = vectors.sparkSession.sparkContext.broadcast(models)
     tiles = tiles or max(24, 2 * vectors.sparkSession.sparkContext.defaultParallelism)
-    tile = F.pmod(F.xxhash64("id"), F.lit(tiles))
-    left = wanted.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("tile"))
-    pairs = index.withColumn("tile", tile).hint("shuffle_hash").join(left, "tile").select("q_ids", "q", "ids", "vectors", "codes", "rest")
+    left = wanted.select("d", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("tile"))
+    pairs = index.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles))).hint("shuffle_hash").join(left, ["d", "tile"]).select("d", "q_ids", "q", "ids", "vectors", "codes", "norms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        models = shared.value
         for batch in batches:
-            for r in range(batch.num_rows):
-                q_ids, q, ids, x, codes, rest = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in enumerate(("<i8", "<f8", "<i8", "<f8", "u1", "<f8")))
-                q, x, codes = q.reshape(len(q_ids), -1), x.reshape(len(ids), -1), codes.reshape(len(ids), -1)
-                for at in range(0, len(q), 128):
-                    i, row, score = best_pairs(model, q_ids[at : at + 128], q[at : at + 128], ids, x, codes, rest, k, depth)
-                    yield pa.RecordBatch.from_pydict({"query_id": q_ids[at : at + 128][i], "vec_id": ids[row], "score": score.astype(np.float64)})
+            for r, d in enumerate(batch.column(0).to_pylist()):
+                q_ids, q, ids, x, codes, stored = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in enumerate(("<i8", "<f8", "<i8", "<f8", "u1", "<f8"), 1))
+                q, x, codes, stored = q.reshape(-1, d), x.reshape(-1, d), codes.reshape(len(ids), -1), stored.reshape(-1, 2)
+                for at in range(0, len(q), STEP):
+                    i, row, score, _ = best_pairs(models[d], q_ids[at : at + STEP], q[at : at + STEP], ids, x, codes, stored, k, share)
+                    yield pa.RecordBatch.from_pydict({"query_id": q_ids[at : at + STEP][i], "vec_id": ids[row], "score": score.astype(np.float64)})
 
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -1,6 +1,8 @@
 """Search and URL operators, and the pipeline, against brute force."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet
 import pytest
 
 import corpus_pipeline
@@ -45,16 +47,38 @@ def test_search_odd_rows(spark):
     assert additive_search.nearest(v.where("false"), v.where("false")).count() == 0
 
 
+def test_search_keeps_lengths_apart(spark):
+    rows = [(i, [float(i % 7 + 1), 1.0, float(i % 3)]) for i in range(40)] + [(100 + i, [float(i), 2.0]) for i in range(10)]
+    got = sorted(tuple(r) for r in additive_search.nearest(*[spark.createDataFrame(rows, "vec_id long, embedding array<float>")] * 2, k=5).collect())
+    short, long = ([(i, v) for i, v in rows if len(v) == d] for d in (2, 3))
+    assert got == sorted(brute(short, {i for i, _ in short}, 5) + brute(long, {i for i, _ in long}, 5))
+
+
 def test_search_counts_ids_not_rows():
     r = np.random.default_rng(3)
     own = r.normal(size=(60, 8))
     x, ids = np.repeat(own, 20, axis=0), np.repeat(np.arange(60), 20)
     books = additive_search.fitted(x.astype(np.float32), 4, 16)
     codes, near = books.encode(x.astype(np.float32))
-    rest = np.sqrt(((x - near) ** 2).sum(1)) + 1e-6
     for q, me in ((own[0], 0), (own[:20].mean(0), -1)):
-        _, row, _ = additive_search.best_pairs(books, np.array([me]), q[None], ids, x, codes, rest, 30, 400)
-        assert ids[row].tolist() == [i for i in np.argsort(-(own @ q), kind="stable").tolist() if i != me][:30]
+        _, row, _, counted = additive_search.best_pairs(books, np.array([me]), q[None], ids, x, codes, additive_search.norms(x, near), 30, 0.1)
+        assert ids[row].tolist() == [i for i in np.argsort(-(own @ q), kind="stable").tolist() if i != me][:30] and counted > 120
+
+
+def test_search_by_estimates():
+    """Whole vectors of sf0.1: the recall comes from a small share of exact scores."""
+    t = pa.parquet.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    x, ids = np.array(t["embedding"].to_pylist(), float), t["vec_id"].to_numpy()
+    books = additive_search.fitted(x)
+    codes, near = books.encode(x.astype(np.float32))
+    at = np.flatnonzero(ids % 20 == 0)
+    q, row, score, counted = additive_search.best_pairs(books, ids[at], x[at], ids, x, codes, additive_search.norms(x, near), 20, 0.03)
+    exact = x[at] @ x.T
+    exact[np.arange(len(at)), at] = -np.inf
+    best = np.argsort(-exact, axis=1, kind="stable")[:, :20]
+    hits = len({*zip(q.tolist(), row.tolist())} & {(i, j) for i, b in enumerate(best.tolist()) for j in b}) / best.size
+    assert hits >= 0.9 and counted < 0.1 * len(at) * len(x), (hits, counted)
+    np.testing.assert_allclose(score, (x[at][q] * x[row]).sum(1), atol=1e-12)
 
 
 def test_beam_search_codes():
