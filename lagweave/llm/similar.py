@@ -21,15 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.shared import U64, binary_array, components, saved
+from lagweave.llm.shared import U64, binary_array, components, ragged, saved
 
 LEFT, RIGHT = 256, 1024
-COLUMNS = 4096
+#: Pairs looked at once, and 64-bit words of their sketches.
+PAIRS, PAIR_WORDS = 1 << 18, 1 << 21
 
 
-def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+def similar(both: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """percent: least similarity; the integers make the comparison exact."""
-    return 100 * common >= percent * (a + b - common)
+    return 100 * both >= percent * (a + b - both)
 
 
 # --- sketches ---
@@ -46,12 +47,12 @@ def sketches(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bits in which rows of a and b (same number of rows, or one broadcast) differ; the longer are folded."""
+    """Bits in which the rows of a and b differ; the longer ones are folded."""
     while a.shape[-1] > b.shape[-1]:
-        a = a[..., : a.shape[-1] // 2] ^ a[..., a.shape[-1] // 2 :]
+        a = a[:, : a.shape[-1] // 2] ^ a[:, a.shape[-1] // 2 :]
     while b.shape[-1] > a.shape[-1]:
-        b = b[..., : b.shape[-1] // 2] ^ b[..., b.shape[-1] // 2 :]
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+        b = b[:, : b.shape[-1] // 2] ^ b[:, b.shape[-1] // 2 :]
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
 def plausible(differ: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -59,10 +60,24 @@ def plausible(differ: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) ->
     return ((100 + percent) * differ <= (100 - percent) * (a + b)) & (percent * np.maximum(a, b) <= 100 * np.minimum(a, b))
 
 
-def by_length(sketch: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(indices, rows of 64-bit words) of the sketches of each length."""
-    size = np.array([len(x) for x in sketch])
-    return [(at, np.frombuffer(b"".join(sketch[i] for i in at.tolist()), U64).reshape(len(at), -1)) for at in (np.flatnonzero(size == s) for s in np.unique(size))]
+def words_of(sketch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sketches as 64-bit words, flat, with where each begins and its number of words."""
+    size = np.array([len(x) for x in sketch], np.int64) >> 3
+    return np.frombuffer(b"".join(sketch), U64), np.cumsum(size) - size, size
+
+
+def may_match(a: list[bytes], b: list[bytes], i: np.ndarray, j: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Flags of the pairs (a[i], b[j]) of sets of sizes na and nb whose sketches allow similarity."""
+    (p, p_at, p_size), (q, q_at, q_size) = words_of(a), words_of(b)
+    keep = percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb)
+    shape = p_size[i] << 32 | q_size[j]
+    for s in np.unique(shape[keep]).tolist():
+        wide, own = (s >> 32, s & 0xFFFFFFFF), np.flatnonzero(keep & (shape == s))
+        for at in range(0, len(own), step := max(1, PAIR_WORDS // sum(wide))):
+            x = own[at : at + step]
+            bits = differing(p[p_at[i[x]][:, None] + np.arange(wide[0])], q[q_at[j[x]][:, None] + np.arange(wide[1])])
+            keep[x] = plausible(bits, na[x], nb[x], percent)
+    return keep
 
 
 def plausible_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -73,13 +88,8 @@ def plausible_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-            keep = percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb)
-            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            shape = np.array([len(p) * 4096 + len(q) / 4096 for p, q in zip(left, right, strict=True)])
-            for s in np.unique(shape[keep]):
-                at = np.flatnonzero(keep & (shape == s))
-                p, q = (np.frombuffer(b"".join(z[i] for i in at.tolist()), U64).reshape(len(at), -1) for z in (left, right))
-                keep[at] = plausible(differing(p, q), na[at], nb[at], percent)
+            at = np.arange(batch.num_rows)
+            keep = may_match(batch.column(4).to_pylist(), batch.column(5).to_pylist(), at, at, na, nb, percent)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return both.mapInArrow(run, "a long, b long")
@@ -99,50 +109,18 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                at = np.searchsorted(p, q)
-                n = int((p[np.minimum(at, len(p) - 1)] == q).sum()) if len(p) else 0
+                n = common(p, q)
                 keep.append(bool(n) and bool(similar(n, len(p), len(q), percent)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by products of incidence matrices over slices of the items."""
-    sizes = np.array([len(x) for x in left + right])
-    items = np.unique(np.concatenate(left + right), return_inverse=True)[1] if sizes.sum() else np.zeros(0, int)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    times = np.bincount(items)
-    shared = times[items] > 1
-    items, owner = np.unique(items[shared], return_inverse=True)[1], owner[shared]
-    order = np.argsort(items, kind="stable")
-    items, owner = items[order], owner[order]
-    out = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, (items[-1] + 1) if len(items) else 0, COLUMNS):
-        lo, hi = np.searchsorted(items, [at, at + COLUMNS])
-        m = np.zeros((len(sizes), COLUMNS), np.float32)
-        m[owner[lo:hi], items[lo:hi] - at] = 1
-        out += m[: len(left)] @ m[len(left) :].T
-    return out.astype(np.int64)
-
-
-def spanning(pairs: Iterator[tuple[int, int]], label: dict[int, int]) -> list[tuple[int, int]]:
-    """Pairs that join what label (node to component) and the pairs before them do not."""
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while up.get(x, x) != x:
-            up[x] = up.get(up[x], up[x])
-            x = up[x]
-        return x
-
-    out = []
-    for a, b in pairs:
-        p, q = top(label[a]), top(label[b])
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            out.append((a, b))
-    return out
+def common(p: np.ndarray, q: np.ndarray) -> int:
+    """Number of items that two ascending arrays share."""
+    if len(p) < len(q):
+        p, q = q, p
+    return int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum()) if len(q) else 0
 
 
 # --- lists ---
@@ -171,47 +149,69 @@ def blocks(rows: DataFrame) -> DataFrame:
     return left.union(right)
 
 
+def dealt(rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """The rows of blocks() with the columns of sets, in groups `task` of about `size` rows of whole blocks."""
+    tasks = max(1, -(-rows.count() // size))
+    return blocks(rows).join(sets, "node").withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)))
+
+
+def candidate_pairs(pdf: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (left, right) in pdf of pairs of one block, of different components, whose sketches allow
+    similarity; a bounded number of pairs is looked at once, by blocks in ascending order."""
+    block = pd.MultiIndex.from_frame(pdf[["key", "i", "j"]]).factorize(sort=True)[0]
+    side, part, n = (pdf[c].to_numpy() for c in ("left", "component", "n"))
+    left, right = (np.flatnonzero(x)[np.argsort(block[x], kind="stable")] for x in (side, ~side))
+    lo, hi = (np.searchsorted(block[right], block[left], s) for s in ("left", "right"))
+    sketch, upto = pdf["sketch"].tolist(), np.cumsum(hi - lo)
+    at = 0
+    while at < len(left):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        a, b = np.repeat(left[at:end], (hi - lo)[at:end]), right[ragged(lo[at:end], (hi - lo)[at:end])]
+        apart = part[a] != part[b]
+        a, b = a[apart], b[apart]
+        if len(a):
+            keep = may_match(sketch, sketch, a, b, n[a], n[b], percent)
+            yield a[keep], b[keep]
+        at = end
+
+
 def promising(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """(key, node), distinct: the nodes whose sketch allows a similar node of another component in their list."""
-    dealt = blocks(rows).join(known.select("node", "n", "sketch"), "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["left"]], pdf[~pdf["left"]]
-        hit = [np.zeros(len(a), bool), np.zeros(len(b), bool)]
-        n, c = ([x[k].to_numpy() for x in (a, b)] for k in ("n", "component"))
-        right = by_length(b["sketch"].tolist())
-        for i, p in by_length(a["sketch"].tolist()):
-            for j, q in right:
-                step = max(1, (1 << 21) // (len(j) * max(p.shape[1], q.shape[1])))
-                for at in range(0, len(i), step):
-                    x = i[at : at + step]
-                    fits = plausible(differing(p[at : at + step, None, :], q[None, :, :]), n[0][x][:, None], n[1][j][None, :], percent)
-                    fits &= c[0][x][:, None] != c[1][j][None, :]
-                    hit[0][x] |= fits.any(1)
-                    hit[1][j] |= fits.any(0)
-        node = np.unique(np.concatenate([a["node"].to_numpy()[hit[0]], b["node"].to_numpy()[hit[1]]]))
-        return pd.DataFrame({"key": np.full(len(node), pdf["key"].iloc[0]), "node": node})
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "key long, node long").distinct()
-
-
-def compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the components of each list as all its similar pairs would."""
+        hit = np.zeros(len(pdf), bool)
+        for a, b in candidate_pairs(pdf, percent):
+            hit[a] = hit[b] = True
+        return pdf.loc[hit, ["key", "node"]].drop_duplicates()
+
+    return dealt(rows, known, 32 * RIGHT).groupBy("task").applyInPandas(run, "key long, node long").distinct()
+
+
+def compared(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each list as all its similar pairs would.
+
+    known: node, n, sketch, items. A pair that labels or links found before it join is not compared.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["left"]], pdf[~pdf["left"]]
-        a, b = ([np.frombuffer(x, np.uint64) for x in p["items"]] for p in (left, right))
-        if not a or not b:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sizes = [np.array([len(x) for x in s]) for s in (a, b)]
-        fits = similar(overlaps(a, b), sizes[0][:, None], sizes[1][None, :], percent)
-        p, q = left["node"].to_numpy(), right["node"].to_numpy()
-        fits &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
-        label = dict(zip(pdf["node"].tolist(), pdf["component"].tolist(), strict=True))
-        found = spanning(((int(p[x]), int(q[y])) for x, y in np.argwhere(fits)), label)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        items = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
+        node, part, up, out = pdf["node"].tolist(), pdf["component"].tolist(), {}, []
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
+        for a, b in candidate_pairs(pdf, percent):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                p, q = top(part[x]), top(part[y])
+                if p != q and similar(common(items[x], items[y]), len(items[x]), len(items[y]), percent):
+                    up[max(p, q)] = min(p, q)
+                    out.append((node[x], node[y]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return blocks(rows).join(sets, "node").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    return dealt(rows, known, 2 * RIGHT).groupBy("task").applyInPandas(run, "a long, b long")
 
 
 def resolve(lists: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -233,5 +233,6 @@ def resolve(lists: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], D
         return joined
     # The main component of what is left of a list may be another.
     rows = saved(open_lists(rows.select("key", "node", "component")), "open")
-    more = saved(compared(rows, sets_of(saved(rows.select("node").distinct(), "wanted")), percent), "links")
+    sets = sets_of(saved(rows.select("node").distinct(), "wanted"))
+    more = saved(compared(rows, known.join(sets, "node"), percent), "links")
     return saved(components(links.union(more).union(joined.select("node", "component"))), "joined")
