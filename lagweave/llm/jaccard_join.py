@@ -8,7 +8,7 @@ have sizes s <= t <= 100 s / p, and share a subset of ceil(p (s + t) / (100 + p)
 * Heavy sets: inverted lists of items are scanned. In one order of all items, similar sets share one
   of their first s - ceil(p s / 100) + 1 items, so only these enter lists. The order puts frequent
   items last, which keeps the lists short: a passage that many documents share is scanned only for
-  sets that hold little else.
+  sets that hold little else. Lists are cut by levels of sizes.
 * The boundary is chosen by cost: the largest size up to which the subset keys of a set cost no more
   than its list entries, each of which counts SCAN_COST times. Sets near it are entered in both.
 
@@ -26,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ from lagweave.llm.similar import resolve, sketches
 
 SCAN_COST = 4
 #: Items are frequent that OFTEN sets have, of those of one text hash in SHARE; MOST of them are kept.
-SHARE, OFTEN, MOST = 32, 3, 1 << 23
+SHARE, OFTEN, MOST = 16, 3, 1 << 23
 
 
 def smallest_partner(s: int, percent: int) -> int:
@@ -127,22 +127,35 @@ def keyed(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return saved(rows.mapInArrow(run, "doc_id long, text_hash long, n long, node long, keys array<long>, sketch binary"), "keyed")
 
 
-def listed(table: DataFrame, column: str, node: str) -> DataFrame:
-    """A written table (key, node), distinct: the keys of arrays in a column that two nodes share."""
-    rows = table.select(F.col(node).alias("node"), F.explode(column).alias("key"))
+@lru_cache(4)
+def sizes_from(percent: int, upto: int) -> np.ndarray:
+    """Smallest sizes of levels: similar sets are of one level or of two that follow each other."""
+    out = [1]
+    while out[-1] <= upto:
+        out.append(100 * out[-1] // percent + 1)
+    return np.array(out)
+
+
+def listed(table: DataFrame, percent: int) -> DataFrame:
+    """A written table (key, node), distinct: lists of two nodes or more that share a key and are of two
+    successive levels of sizes. table: node, n (size), keys (array)."""
+    rows = table.select("node", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    shared = saved(shared, "shared")
-    sieve = Sieve(shared, "key")
+    sieve = Sieve(saved(shared, "shared"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, size = batch.column(1).flatten(), pa.compute.list_value_length(batch.column(1)).fill_null(0)
-            nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size.to_numpy(zero_copy_only=False))
-            keys = keys.to_numpy()
-            kept = sieve(keys)
-            yield pa.RecordBatch.from_pydict({"key": keys[kept], "node": nodes[kept]})
-
-    near = table.select(node, column).where(F.col(node).isNotNull()).mapInArrow(run, "key long, node long")
+            one = np.unique(batch.column(0).to_numpy(), return_index=True)[1]
+            batch = batch.take(pa.array(one))
+            size, keys = pc.list_value_length(batch.column(2)).to_numpy(), batch.column(2).flatten().to_numpy()
+            kept, owner = sieve(keys), np.repeat(np.arange(len(one)), size)
+            keys, owner, n = keys[kept].view(U64), owner[kept], batch.column(1).to_numpy()
+            level = np.searchsorted(sizes_from(percent, 1 << int(n.max()).bit_length()), n, "right")[owner].astype(U64) if len(n) else np.zeros(0, U64)
+            both = np.concatenate([mix(keys + (level + U64(i)) * U64(0xA0761D6478BD642F)) for i in range(2)])
+            yield pa.RecordBatch.from_pydict({"key": both.view(np.int64), "node": np.tile(batch.column(0).to_numpy()[owner], 2)})
+
+    near = saved(table.select("node", "n", "keys").mapInArrow(run, "key long, node long"), "near")
+    shared = near.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     return saved(near.join(shared, "key").distinct(), "lists")
 
 
@@ -177,7 +190,7 @@ def joined(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     table = keyed(rows, words, percent)
     some = table.where("n > 0")
-    lists = listed(some, "keys", "node")
+    lists = listed(some, percent)
     known = some.join(lists.select("node").distinct(), "node").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     groups = resolve(lists, saved(known, "sketches"), lambda wanted: sets_of(rows, some, wanted, words), percent)
     told = some.drop("keys", "sketch").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

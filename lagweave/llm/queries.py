@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lagweave.llm import additive_search, decontaminate, html_text, jaccard_join, language, licence_scan, pieces, substring_dedup, token_files, url_trust
+from lagweave.llm.shared import bounded
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,15 +13,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, ARROW_BYTES = 1 << 20, "8m"
+#: New words that a store has encoded at once.
+ENCODED = 1 << 14
 
 
 # --- folders every executor can reach -------------------------------------------------------
 
 
+def bounded(spark: SparkSession) -> None:
+    """Batches to and from workers are bounded by bytes, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, ARROW_BYTES)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; a local one is set only where that is unset and
     Spark runs on this machine alone (tests)."""
+    bounded(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
@@ -203,6 +214,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    released()
+
+
+def released() -> None:
+    """Gives memory that a worker has freed back to the system, where its library can: an idle worker
+    of a stage would hold it beside those of the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def windows(counts: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -349,7 +370,7 @@ class WordStore:
     does not depend on what it holds.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_200_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -419,7 +440,8 @@ class WordStore:
 
     def add(self, keys: np.ndarray, sizes: np.ndarray, counts: np.ndarray, chunks: np.ndarray, words: list[str]) -> None:
         """New words: their keys, sizes in bytes, numbers of chunks, and chunks."""
-        ids, ids_each = self.encode(words)
+        parts = [self.encode(words[at : at + ENCODED]) for at in range(0, len(words), ENCODED)]
+        ids, ids_each = (np.concatenate(x) for x in zip(*parts, strict=True))
         n, m, c = self.words + len(keys), self.used + len(ids), int(self.chunk_ends[self.words - 1]) if self.words else 0
         self.ends, self.sizes, self.chunk_ends = (grown(x, n) for x in (self.ends, self.sizes, self.chunk_ends))
         self.flat, self.chunks = grown(self.flat, m), grown(self.chunks, c + len(chunks))

@@ -37,9 +37,9 @@ def similar(both: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.
 
 
 def sketches(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Parity sketches of sets: a power of two of bits, twice the items at least."""
+    """Parity sketches of sets: a power of two of bits, as many as items at least."""
     n = np.diff(offsets)
-    bits = np.left_shift(64, np.maximum(np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64) - 6, 0))
+    bits = np.left_shift(64, np.maximum(np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64) - 6, 0))
     begin = np.concatenate([[0], np.cumsum(bits)])
     at = np.repeat(begin[:-1], n) + (values >> U64(11) & np.repeat(bits - 1, n).astype(U64)).astype(np.int64)
     odd = np.bincount(at, minlength=int(begin[-1])) & 1

@@ -181,8 +181,8 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, least: in
     table = saved(rows.mapInArrow(units, "doc_id long, text_hash long, lines array<long>, keys array<long>, sizes array<long>, sketches array<binary>, prints array<long>"), "units")
     # Clusters of paragraphs, and which document keeps each that two documents have.
     line = lambda *more: table.select("doc_id", "text_hash", F.explode(F.transform("lines", lambda x, i: F.struct(x.alias("node"), *[f(i).alias(c) for c, f in more]))).alias("x"))
-    keyed = line(("keys", lambda i: F.slice("keys", i * n_bands + 1, n_bands))).select("x.node", "x.keys")
-    lists = listed(keyed, "keys", "node")
+    keyed = line(("n", lambda i: F.get("sizes", i)), ("keys", lambda i: F.slice("keys", i * n_bands + 1, n_bands))).select("x.*")
+    lists = listed(keyed, percent)
     parts = line(("n", lambda i: F.get("sizes", i)), ("sketch", lambda i: F.get("sketches", i))).select("x.*")
     known = saved(parts.join(lists.select("node").distinct(), "node").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
     homes = line().select("x.node", mark().alias("mark"))
