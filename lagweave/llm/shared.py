@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-CHUNK_BYTES, ARROW_BYTES = 1 << 20, "8m"
+CHUNK_BYTES, ARROW_BYTES = 1 << 18, "4m"
 #: New words that a store has encoded at once.
 ENCODED = 1 << 14
 

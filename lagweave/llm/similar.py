@@ -25,7 +25,7 @@ from lagweave.llm.shared import U64, binary_array, components, ragged, saved
 
 LEFT, RIGHT = 256, 1024
 #: Pairs looked at once, and 64-bit words of their sketches.
-PAIRS, PAIR_WORDS = 1 << 18, 1 << 21
+PAIRS, PAIR_WORDS = 1 << 17, 1 << 19
 
 
 def similar(both: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -184,7 +184,7 @@ def promising(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             hit[a] = hit[b] = True
         return pdf.loc[hit, ["key", "node"]].drop_duplicates()
 
-    return dealt(rows, known, 32 * RIGHT).groupBy("task").applyInPandas(run, "key long, node long").distinct()
+    return dealt(rows, known, 8 * RIGHT).groupBy("task").applyInPandas(run, "key long, node long").distinct()
 
 
 def compared(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
