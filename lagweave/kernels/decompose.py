@@ -107,19 +107,13 @@ def lanczos(times, adjoint, rows: int, columns: int, count: int, kind=float, tol
     alpha, beta = [], []
     while True:
         while size < steps:
-            u = times(vs[size])
-            for _ in range(2):
-                for w in us:
-                    u = u - w * np.vdot(w, u)
+            u = without(times(vs[size]), us)
             a = np.linalg.norm(u)
             if a < 1e-300:
                 return None
             us.append(u / a)
             alpha.append(a)
-            v = adjoint(us[size])
-            for _ in range(2):
-                for w in vs:
-                    v = v - w * np.vdot(w, v)
+            v = without(adjoint(us[size]), vs)
             b = np.linalg.norm(v)
             beta.append(b)
             size += 1
@@ -136,21 +130,29 @@ def lanczos(times, adjoint, rows: int, columns: int, count: int, kind=float, tol
         steps = min(limit, 2 * steps)
 
 
-def leading(x: Trajectory, count: int, method: str = "auto", matrix: np.ndarray | None = None, times=None, adjoint=None) -> tuple[np.ndarray, ...]:
-    """sigma, U and V of the leading triples of x, of a matrix, or of a pair of products."""
+def without(x: np.ndarray, basis: list[np.ndarray]) -> np.ndarray:
+    """x less its part in the span of an orthonormal basis, taken off twice for accuracy."""
+    if basis:
+        b = np.stack(basis)
+        for _ in range(2):
+            x = x - b.T @ (np.conj(b) @ x)
+    return x
+
+
+def leading(x: Trajectory, count: int, method: str = "auto", matrix=None, times=None, adjoint=None) -> tuple[np.ndarray, ...]:
+    """sigma, U and V of the leading triples of x, or of a matrix of its shape, given by a function
+    that builds it and by its products with vectors."""
     if method not in METHODS:
         raise ValueError(f"svd method {method!r} is not one of {METHODS}")
-    rows, columns = (x.rows, x.columns) if matrix is None else matrix.shape
+    rows, columns = x.rows, x.columns
     if method == "auto":
         method = "svd" if min(rows, columns) < DENSE_BELOW or count > min(rows, columns) / 2 else "lanczos"
     if method in LANCZOS:
         kind = complex if x.complex else float
-        if matrix is not None and times is None:
-            times, adjoint = (lambda v: matrix @ v), (lambda u: np.conj(matrix.T) @ u)
         found = lanczos(times or x.times, adjoint or x.adjoint, rows, columns, count, kind)
         if found is not None:
             return (found[0], *signed(*found[1:]))
-    dense = x.dense() if matrix is None else matrix
+    dense = x.dense() if matrix is None else matrix()
     if method == "eigen":
         values, u = np.linalg.eigh(dense @ np.conj(dense.T))
         order = np.argsort(-values, kind="stable")[:count]
@@ -185,9 +187,15 @@ def toeplitz(x: Trajectory, count: int | None = None, method: str = "auto") -> T
         raise ValueError("a Toeplitz decomposition takes no gaps or shapes")
     window = x.rows
     c = lag_correlations(b.values, window, any(b.circular))
-    matrix = c[np.abs(np.subtract.outer(np.arange(window), np.arange(window)))]
-    values, u = np.linalg.eigh(matrix)
-    u = u[:, np.argsort(-values, kind="stable")[: min(count or default_count(x), window)]]
+    wanted = min(count or default_count(x), window)
+    if method not in METHODS:
+        raise ValueError(f"svd method {method!r} is not one of {METHODS}")
+    u = None
+    if method in LANCZOS or method == "auto" and window >= DENSE_BELOW and wanted <= window / 2:
+        u = toeplitz_vectors(c, wanted)
+    if u is None:
+        values, u = np.linalg.eigh(c[np.abs(np.subtract.outer(np.arange(window), np.arange(window)))])
+        u = u[:, np.argsort(-values, kind="stable")[:wanted]]
     z = np.stack([x.adjoint(y) for y in u.T], 1)
     sigma = np.linalg.norm(z, axis=0)
     v = right_vectors(z, sigma)
@@ -195,6 +203,20 @@ def toeplitz(x: Trajectory, count: int | None = None, method: str = "auto") -> T
     return Triples(x, sigma[order], *signed(u[:, order], v[:, order]), kind="toeplitz")
 
 
+def toeplitz_vectors(c: np.ndarray, count: int) -> np.ndarray | None:
+    """Eigenvectors of the largest eigenvalues of the symmetric Toeplitz matrix with first row c,
+    from products by FFT; None where the iteration does not settle.
+
+    The matrix is lifted by its norm's bound, so that the largest eigenvalues are the largest
+    singular values too.
+    """
+    n, lift = len(c), 2 * np.abs(c).sum() - abs(c[0])
+    spectrum = np.fft.rfft(np.concatenate([c, [0.0], c[:0:-1]]))
+    times = lambda v: np.fft.irfft(spectrum * np.fft.rfft(v, 2 * n), 2 * n)[:n] + lift * v
+    found = lanczos(times, times, n, n, count)
+    return None if found is None else np.linalg.qr(found[1])[0]
+
+
 BASES = {"none": 0, "constant": 1, "centering": 1, "linear": 2, "quadratic": 3, "qubic": 4, "cubic": 4}
 
 
@@ -227,13 +249,14 @@ def projected(x: Trajectory, count: int | None = None, column_projector="none",
     b = x.blocks[0]
     lu = basis(column_projector, b.cells()[0], b.window.shape, b.window)
     rv = basis(row_projector, b.cells()[1], b.places, b.used)
-    m = x.dense()
-    ru = m @ rv
-    lv = m.T @ lu - rv @ (ru.T @ lu)
-    rest = m - ru @ rv.T - lu @ lv.T
+    product = lambda f, m: np.stack([f(c) for c in m.T], 1) if m.shape[1] else np.zeros((len(f(np.zeros(len(m)))), 0))
+    ru = product(x.times, rv)
+    lv = product(x.adjoint, lu) - rv @ (ru.T @ lu)
     special = rv.shape[1] + lu.shape[1]
     n = min(count or default_count(x, max(rv.shape[1], lu.shape[1])), rank_limit(x, max(rv.shape[1], lu.shape[1])))
-    s, u, v = leading(x, n, method, rest)
+    # What both projectors leave, as products; the matrix itself is built for dense methods only.
+    s, u, v = leading(x, n, method, lambda: x.dense() - ru @ rv.T - lu @ lv.T,
+                      lambda a: x.times(a) - ru @ (rv.T @ a) - lu @ (lv.T @ a), lambda a: x.adjoint(a) - rv @ (ru.T @ a) - lv @ (lu.T @ a))
     rs, ls = np.linalg.norm(ru, axis=0), np.linalg.norm(lv, axis=0)
     safe = lambda a, n: np.where(n > 0, a / np.where(n > 0, n, 1), 0)
     return Triples(x, np.concatenate([rs, ls, s]), np.concatenate([safe(ru, rs), lu, u], 1), np.concatenate([rv, safe(lv, ls), v], 1), rv.shape[1], lu.shape[1], kind) if special else basic(x, count, method, kind)
@@ -249,7 +272,8 @@ def weighted(x: Trajectory, count: int | None = None, column_weight=None, row_we
         raise ValueError("weights are vectors of the window's and of the positions' length")
     a, b = np.sqrt(c), np.sqrt(r)
     inverse = lambda w: np.where(w > least * w.max(), 1 / np.where(w > 0, w, 1), 0)
-    s, u, v = leading(x, min(count or default_count(x), rank_limit(x)), method, a[:, None] * x.dense() * b)
+    s, u, v = leading(x, min(count or default_count(x), rank_limit(x)), method, lambda: a[:, None] * x.dense() * b,
+                      lambda y: a * x.times(b * y), lambda y: b * x.adjoint(a * y))
     u, v = inverse(a)[:, None] * u, inverse(b)[:, None] * v
     nu, nv = np.linalg.norm(u, axis=0), np.linalg.norm(v, axis=0)
     return Triples(x, s * nu * nv, u / nu, v / nv, kind=kind, column_weight=c, row_weight=r)
@@ -304,6 +328,13 @@ def frobenius_orthogonal(t: Triples, groups: list[list[int]], tolerance: float =
     return True if c.max(initial=0) < tolerance else float(c.max())
 
 
+def distance2(x: Trajectory, y: np.ndarray, sigma: np.ndarray, z: np.ndarray) -> float:
+    """Squared Frobenius distance of a trajectory matrix from sum of sigma y z*, by products alone."""
+    cross = sum(s * np.vdot(b, x.times(a)).real for a, s, b in zip(z.T, sigma, y.T, strict=True))
+    own = ((np.conj(y.T) @ y) * np.conj(np.conj(z.T) @ z) * np.outer(sigma, sigma)).real.sum()
+    return float(max(x.norm2 - 2 * cross + own, 0.0))
+
+
 def oblique_correlations(t: Triples, groups: list[list[int]]) -> np.ndarray:
     """Correlations after the bases of nested groups are made orthogonal by their pseudo-inverses."""
     if not t.nested:

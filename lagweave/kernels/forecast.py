@@ -26,13 +26,22 @@ def lrr(u: np.ndarray, eps: float = EPS, reverse: bool = False, orthonormalize:
     return np.delete(p, at) / (1 - nu2)
 
 
-def roots(coefficients: np.ndarray) -> np.ndarray:
-    """Characteristic roots of a recurrence, by decreasing modulus."""
+def roots(coefficients: np.ndarray, method: str = "companion") -> np.ndarray:
+    """Characteristic roots of a recurrence, by decreasing modulus: eigenvalues of the companion
+    matrix, or (polyroot) these after Newton's steps on the polynomial."""
+    if method not in ("companion", "polyroot"):
+        raise ValueError("method is companion or polyroot")
     n = len(coefficients)
     m = np.zeros((n, n), coefficients.dtype)
     m[1:, :-1] = np.eye(n - 1)
     m[:, -1] = coefficients
     z = np.linalg.eigvals(m)
+    if method == "polyroot":
+        p = np.concatenate([[1], -coefficients[::-1]])
+        for _ in range(3):
+            slope = np.polyval(np.polyder(p), z)
+            step = np.polyval(p, z) / np.where(slope == 0, 1, slope)
+            z = z - np.where((slope != 0) & (np.abs(step) < 1e-3), step, 0)
     return z[np.lexsort((-z.imag, -np.round(np.abs(z), 12)))]
 
 
@@ -125,6 +134,14 @@ def shift_matrix(u: np.ndarray, first: np.ndarray | None = None, second: np.ndar
     return np.conj(np.linalg.solve(v[:r].T, v[r:].T)) if np.iscomplexobj(u) else np.linalg.solve(v[:r].T, v[r:].T)
 
 
+def enlarged(u: np.ndarray, more: int, solve: str = "ls") -> np.ndarray:
+    """A basis with `more` rows after its last one, which its shift matrix gives."""
+    z, rows = shift_matrix(u, solve=solve), [u[-1]]
+    for _ in range(more):
+        rows.append(rows[-1] @ z)
+    return np.concatenate([u, np.stack(rows[1:])]) if more else u
+
+
 def vector(t: Triples, group, length: int = 1, only_new: bool = True, direction: str = "row") -> list[np.ndarray]:
     """Vector forecast of each block."""
     _check(t, False)
@@ -186,13 +203,13 @@ def _diagonal_means(m: np.ndarray) -> np.ndarray:
     return np.bincount(at, m.ravel()) / n
 
 
-def bootstrap(t: Triples, group, length: int, seed: int, kind: str = "recurrent", count: int | None = None) -> np.ndarray:
+def bootstrap(t: Triples, group, length: int, seed: int, kind: str = "recurrent", count: int | None = None, only_new: bool = True) -> np.ndarray:
     """One replicate: residuals are drawn anew, the series fitted again and forecast."""
     rec = t.series(group)[0]
     residual = t.x.blocks[0].values - rec
     rng = np.random.default_rng(seed)
     again = refitted(t, [rec + rng.choice(residual, len(residual))], count or len(t.sigma))
-    return (recurrent if kind == "recurrent" else vector)(again, group, length)[0]
+    return (recurrent if kind == "recurrent" else vector)(again, group, length, only_new=only_new)[0]
 
 
 def parameters(z: np.ndarray) -> dict[str, np.ndarray]:

@@ -145,3 +145,20 @@ class Trajectory:
     @property
     def circular(self) -> bool:
         return any(any(b.circular) for b in self.blocks)
+
+
+def convolved(x: np.ndarray, y: np.ndarray, kind: str = "circular", reverse: bool = True) -> np.ndarray:
+    """n-D convolution by FFT; with reverse, correlation: sums of x moved on against y.
+
+    circular: of x's shape, wrapping around; open: zeros around, all overlaps; filter: full overlaps
+    only. One kind for all dimensions, or one for each.
+    """
+    kinds = (kind,) * x.ndim if isinstance(kind, str) else tuple(kind)
+    if len(kinds) != x.ndim or x.ndim != y.ndim or not {*kinds} <= {"circular", "open", "filter"}:
+        raise ValueError("kind is circular, open or filter, for each dimension of both arrays")
+    size = tuple(n + m - 1 if k == "open" else n for n, m, k in zip(x.shape, y.shape, kinds, strict=True))
+    out = tuple(n - m + 1 if k == "filter" else s for n, m, s, k in zip(x.shape, y.shape, size, kinds, strict=True))
+    axes = tuple(range(x.ndim))
+    fy = np.fft.fftn(y, size, axes)
+    full = np.fft.ifftn(np.fft.fftn(x, size, axes) * (np.conj(fy) if reverse else fy))[tuple(slice(n) for n in out)]
+    return full if np.iscomplexobj(x) or np.iscomplexobj(y) else full.real

@@ -184,3 +184,18 @@ def covariance(series: DataFrame, window: int) -> DataFrame:
     cells = pairs.where(low <= high).select("series_id", F.explode(F.sequence(low, high)).alias("i"), "k", (F.col("a") * F.col("b")).alias("p"))
     upper = cells.groupBy("series_id", "i", "k").agg(F.sum("p").alias("value")).select("series_id", "i", (F.col("i") + F.col("k")).alias("j"), "value")
     return upper.union(upper.where("i < j").select("series_id", F.col("j").alias("i"), F.col("i").alias("j"), "value"))
+
+
+ARITHMETIC = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: F.try_divide(a, b)}
+
+
+def arithmetic(left: DataFrame, right: DataFrame, sign: str) -> DataFrame:
+    """(series_id, t, value): the values of two tables of (ragged) series, cell by cell.
+
+    A cell that one table lacks, a null value or a division by zero gives null. Rows are joined on
+    series_id and t; other columns are dropped.
+    """
+    if sign not in ARITHMETIC:
+        raise ValueError(f"{sign!r} is not one of {' '.join(ARITHMETIC)}")
+    a, b = (x.select("series_id", "t", F.col("value").alias(c)) for x, c in ((left, "a"), (right, "b")))
+    return a.join(b, ["series_id", "t"], "full").select("series_id", "t", ARITHMETIC[sign](F.col("a"), F.col("b")).alias("value"))

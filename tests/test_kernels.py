@@ -7,6 +7,7 @@ from lagweave.kernels import decompose as D
 from lagweave.kernels import forecast as P
 from lagweave.kernels import gaps as G
 from lagweave.kernels import nested as N
+from lagweave.kernels import trajectory as T
 from lagweave.kernels.trajectory import Block, Trajectory, circle, hankel_weights, triangle
 
 
@@ -170,3 +171,55 @@ def test_field_split():
     got = [e.series(g)[0] for g in groups]
     assert min(np.abs(got[0] - a).max(), np.abs(got[0] - b).max()) < 1e-8
     np.testing.assert_allclose(got[0] + got[1], a + b, atol=1e-9)
+
+
+def test_lanczos_fits_equal_dense_ones():
+    r = np.random.default_rng(2)
+    t = np.arange(500)
+    x = Trajectory([Block(np.sin(t / 7) + 0.3 * np.cos(t / 3) + 0.01 * t + 0.1 * r.normal(size=500), np.ones(120, bool), (False,))])
+    w = r.uniform(0.5, 2, 120)
+    for fit in (lambda m: D.toeplitz(x, 6, m), lambda m: D.projected(x, 6, "linear", "constant", m), lambda m: D.weighted(x, 6, w, None, m)):
+        dense, quick = fit("svd"), fit("nutrlan")
+        np.testing.assert_allclose(quick.sigma, dense.sigma, rtol=1e-8)
+        np.testing.assert_allclose(quick.series(range(1, 7))[0], dense.series(range(1, 7))[0], atol=1e-7)
+
+
+def test_convolutions_equal_sums():
+    r = np.random.default_rng(1)
+    x, y = r.normal(size=(7, 5)), r.normal(size=(3, 2))
+    got = T.convolved(x, y, "filter")
+    for i in range(5):
+        for j in range(4):
+            assert got[i, j] == pytest.approx((x[i : i + 3, j : j + 2] * y).sum())
+    np.testing.assert_allclose(T.convolved(x[:, 0], y[:, 0], "open", reverse=False), np.convolve(x[:, 0], y[:, 0]))
+    np.testing.assert_allclose(T.convolved(x[:, 0], y[:, 0]), [(np.roll(x[:, 0], -i)[:3] * y[:, 0]).sum() for i in range(7)])
+
+
+def test_basis_distance_and_orthogonalization():
+    z = np.array([0.9 * np.exp(0.7j), 0.9 * np.exp(-0.7j), 1.05])
+    full = (z[None, :] ** np.arange(25)[:, None]) @ np.array([[1, 1j, 0], [1, -1j, 0], [0, 0, 1]])
+    full = full.real
+    np.testing.assert_allclose(P.enlarged(full[:20], 5), full, atol=1e-9)
+    r = np.random.default_rng(4)
+    y, w, s = r.normal(size=(9, 3)), r.normal(size=(12, 3)), np.array([3.0, 2, 1])
+    x = Trajectory([Block(r.normal(size=20), np.ones(9, bool), (False,))])
+    assert D.distance2(x, y, s, w) == pytest.approx(((x.dense() - (y * s) @ w.T) ** 2).sum())
+    for side in ("bi", "left", "right"):
+        sigma, a, b = N.orthogonalized(y, w, s, side)
+        np.testing.assert_allclose((a * sigma) @ b.T, (y * s) @ w.T, atol=1e-10)
+        for m in (a,) * (side != "right") + (b,) * (side != "left"):
+            np.testing.assert_allclose(m.T @ m, np.eye(3), atol=1e-10)
+    assert N.merged_groups([[1, 2], [3], [5]], [2, 4]) == [[3], [5], [2, 4, 1]]
+
+
+def test_kept_apart_is_stepwise_scaling():
+    r = np.random.default_rng(0)
+    for _ in range(30):
+        sigmas = [r.uniform(0.1, 5, r.integers(1, 4)) for _ in range(5)]
+        scaled, by = [s.copy() for s in sigmas], [1.0] * 5
+        for i in range(4):
+            ratio = scaled[i].min() / scaled[i + 1].max()
+            if ratio < 2:
+                scaled[i + 1] *= ratio / 2
+                by[i + 1] = 2 / ratio
+        np.testing.assert_allclose(N.kept_apart(sigmas, 2), by)
