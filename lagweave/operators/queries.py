@@ -576,3 +576,60 @@ def trend_and_season(spark, sf_dir):
 def event_types_trend(spark, sf_dir):
     """Many series at once, with gaps: trend of hourly events of each type."""
     return SSA(S.hourly_events(spark, sf_dir, by_type=True), window=24, count=6).reconstruct({"trend": [1]})
+
+
+# --- long windows (iterative decompositions), kept fits, planned sizes, arithmetic ---
+
+
+def long_trend(spark: SparkSession, **options) -> SSA:
+    return SSA(S.analytic(spark, 1200, TREND_SINE.replace("0.005", "0.001")), window=600, **options)
+
+
+LONG = f"SELECT 'x' AS series_id, 'F1' AS grp, t, round({TREND_SINE.replace('0.005', '0.001')}, 5) + 0.0 AS value FROM (SELECT CAST(unnest(range(1, 1201)) AS BIGINT) AS t)"
+
+
+@query(LONG)
+def lanczos_reconstruct(spark, sf_dir):
+    return values(long_trend(spark, count=3).reconstruct([[1, 2, 3]]), "series_id", "grp", "t", digits=5)
+
+
+@query(LONG)
+def lanczos_weighted(spark, sf_dir):
+    return values(long_trend(spark, count=3, column_weight=np.linspace(1, 2, 600)).reconstruct([[1, 2, 3]]), "series_id", "grp", "t", digits=5)
+
+
+@query(LONG)
+def lanczos_projected(spark, sf_dir):
+    return values(long_trend(spark, count=4, column_projector="constant").reconstruct([range(1, 6)]), "series_id", "grp", "t", digits=5)
+
+
+@query(LONG)
+def kept_fit_reconstruct(spark, sf_dir):
+    return values(long_trend(spark, count=3).precache().reconstruct([[1, 2, 3]]), "series_id", "grp", "t", digits=5)
+
+
+@query(f"SELECT 'x' AS series_id, 'all' AS grp, t, round({TREND_SINE}, 5) + 0.0 AS value FROM (SELECT CAST(unnest(range(1, 151)) AS BIGINT) AS t)")
+def planned_count_reconstruct(spark, sf_dir):
+    return values(SSA(S.analytic(spark, 150, TREND_SINE), window=70).reconstruct({"all": range(1, 71)}), "series_id", "grp", "t", digits=5)
+
+
+@query("SELECT 'x' AS series_id, 3 AS nu, 3 AS nv, 3 AS nsigma, 0 AS nspecial")
+def triple_counts(spark, sf_dir):
+    return trend(spark, count=3).counts()
+
+
+@query(BOOT)
+def prediction_zero_noise(spark, sf_dir):
+    b = trend(spark, count=3).bforecast([[1, 2, 3]], 10, replicates=20, interval="prediction")
+    return b.select("series_id", "grp", "t", *[rounded(c, 5).alias(c) for c in ("mean", "lower", "upper")])
+
+
+@query(f"WITH {FLAGS} SELECT series_id, t, a.value - b.value AS value FROM s a FULL JOIN (SELECT series_id, t + 3 AS t, value FROM s) b USING (series_id, t)")
+def series_difference(spark, sf_dir):
+    s = S.monthly_quantity(spark, sf_dir)
+    return R.arithmetic(s, s.withColumn("t", F.col("t") + 3), "-")
+
+
+@query("SELECT 'x' AS series_id, true AS orthogonal")
+def frobenius_orthogonal(spark, sf_dir):
+    return trend(spark, count=3).frobenius_orthogonal([[1], [2, 3]]).select("series_id", "orthogonal")
