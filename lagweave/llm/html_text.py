@@ -4,7 +4,8 @@ The page's markup is stripped to lines: one for each block-level element's own t
 in elements made for something else than the text (menus, headers, footers, forms, adverts, scripts,
 comments of readers, told by tag, role, class or id) count with length 0. A class or id may mislead: an
 element told by it alone counts after all if it holds main, the page's only article elements, or more
-than half of the text (for comments of readers: all of it). Over the lines a sliding
+than half of the text (for comments of readers: all of it). Successive lines that are links count with
+length 0 too: the density of links tells a menu that has no name. Over the lines a sliding
 window of BLOCK lines sums the lengths; where that sum surges from 0 the text can begin, and where it
 dives to 0 it ends. Of the stretches between surge and dive the one with most text is kept. Where it
 lies in an article or main element, all text of that element is; elsewhere the other stretches that
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from lagweave.llm.shared import slices
 
 BLOCK = 3
+#: Share of a line's text in links from which it counts as one.
+LINKED = 0.8
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
@@ -60,95 +64,138 @@ class Line:
     text: str
     beside: bool
     article: int  # number of the article or main element around it, 0 for none
-    named: tuple[int, ...] = ()  # numbers of the elements around it that class or id tell beside
+    named: int = 0  # number of the innermost element around it that class or id tell beside, 0 for none
     heading: bool = False
+    linked: bool = False  # most of it is the text of links
+
+
+@dataclass
+class Element:
+    tag: str
+    beside: bool
+    article: int
+    named: int
 
 
 @dataclass
 class Reader:
-    """Reads markup into lines."""
+    """Reads markup into lines, in time that grows with the page's length alone."""
 
     lines: list[Line] = field(default_factory=list)
-    open: list[tuple[str, bool, int, tuple[int, ...]]] = field(default_factory=list)  # tag, beside, article, named
-    text: list[str] = field(default_factory=list)
+    open: list[Element] = field(default_factory=list)
+    blocks: list[int] = field(default_factory=list)  # places in open of elements that are not inline
+    count: Counter = field(default_factory=Counter)  # open elements by tag
+    head: int = -1  # place of an open head
+    text: list[tuple[str, bool]] = field(default_factory=list)  # with whether it is in a link
     articles: int = 0
-    names: list[bool] = field(default_factory=list)  # whether readers' comments are named, by number
-    holders: dict[str, list[tuple[int, ...]]] = field(default_factory=lambda: {t: [] for t in ARTICLE})  # what is named around each
+    readers: list[bool] = field(default_factory=lambda: [False])  # of each named element: whether readers' comments are named
+    parent: list[int] = field(default_factory=lambda: [0])  # the named element around each
+    holders: dict[str, list[int]] = field(default_factory=lambda: {t: [] for t in ARTICLE})  # the named element around each
+
+    def top(self) -> Element:
+        return self.open[-1] if self.open else Element("", False, 0, 0)
 
     def flush(self) -> None:
-        text = " ".join(html.unescape("".join(self.text)).split())
-        self.text.clear()
+        text = " ".join(html.unescape("".join(x for x, _ in self.text)).split())
         if text:
-            _, beside, article, named = self.open[-1] if self.open else ("", False, 0, ())
-            self.lines.append(Line(text, beside, article, named, any(x[0] in ("h1", "h2") for x in self.open)))
+            links = sum(len(x.strip()) for x, linked in self.text if linked)
+            e = self.top()
+            self.lines.append(Line(text, e.beside, e.article, e.named, self.count["h1"] + self.count["h2"] > 0, links > LINKED * sum(len(x.strip()) for x, _ in self.text)))
+        self.text.clear()
+
+    def push(self, e: Element) -> None:
+        if e.tag not in INLINE:
+            self.blocks.append(len(self.open))
+        if e.tag == "head":
+            self.head = len(self.open)
+        self.count[e.tag] += 1
+        self.open.append(e)
+
+    def drop(self, at: int) -> None:
+        for e in self.open[at:]:
+            self.count[e.tag] -= 1
+        del self.open[at:]
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+        if self.head >= at:
+            self.head = -1
 
     def pop(self, at: int) -> None:
         self.flush()
-        del self.open[at:]
+        self.drop(at)
 
     def write(self, text: str) -> None:
-        if self.open and self.open[-1][0] == "head" and text.strip():
-            self.pop(len(self.open) - 1)
-        self.text.append(text)
+        if text:
+            if self.open and self.open[-1].tag == "head" and text.strip():
+                self.pop(len(self.open) - 1)
+            self.text.append((text, self.count["a"] > 0))
 
     def start(self, tag: str, attributes: str) -> None:
-        if tag not in IN_HEAD and tag not in ("head", "html"):
-            at = next((i for i, x in enumerate(self.open) if x[0] == "head"), -1)
-            if at >= 0 and not any(x[0] in ("template", "noscript") for x in self.open[at:]):
-                self.pop(at)
-        if self.open and tag in CLOSES.get(self.open[-1][0], ()):
+        if self.head >= 0 and tag not in IN_HEAD and tag not in ("head", "html") and not self.count["template"] + self.count["noscript"]:
+            self.pop(self.head)
+        if self.open and tag in CLOSES.get(self.open[-1].tag, ()):
             self.pop(len(self.open) - 1)
-        else:  # inline elements left open inside a paragraph end with it
-            at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] not in INLINE), -1)
-            if at >= 0 and tag in CLOSES.get(self.open[at][0], ()):
-                self.pop(at)
-        around, article, names = self.open[-1][1:] if self.open else (False, 0, ())
-        beside = around or is_beside(tag, attributes, article > 0)
+        elif self.blocks and tag in CLOSES.get(self.open[self.blocks[-1]].tag, ()):
+            self.pop(self.blocks[-1])  # inline elements left open inside a paragraph end with it
+        e = self.top()
+        beside = e.beside or is_beside(tag, attributes, e.article > 0)
         name = set() if beside or tag in ("html", "body") or tag in ARTICLE else told_by_name(attributes)
-        if tag not in INLINE or beside != around or name:
+        if tag not in INLINE or beside != e.beside or name:
             self.flush()
+        article, names = e.article, e.named
         if name:
-            self.names.append(bool(name & READERS))
-            names = (*names, len(self.names) - 1)
+            self.readers.append(bool(name & READERS))
+            self.parent.append(names)
+            names = len(self.parent) - 1
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", False))
         if tag in ARTICLE and not beside:
             self.holders[tag].append(names)
             if not article:
                 self.articles += 1
                 article = self.articles
         if tag not in VOID and not attributes.endswith("/"):
-            self.open.append((tag, beside, article, names))
+            self.push(Element(tag, beside, article, names))
+
+    def end(self, tag: str) -> None:
+        if not self.count[tag]:
+            if tag not in INLINE:
+                self.flush()
+            return
+        last = self.blocks[-1] if self.blocks else -1
+        at = len(self.open) - 1
+        while self.open[at].tag != tag:
+            at -= 1
+            if tag in INLINE and at <= last:
+                return  # a stray end does not close blocks
+        if tag in INLINE and at > 0 and (self.open[at].beside, self.open[at].named) == (self.open[at - 1].beside, self.open[at - 1].named):
+            self.drop(at)
+        else:
+            self.pop(at)
 
     def resolved(self) -> list[Line]:
         """The lines, those in named elements beside unless the name misleads."""
-        size, total = [0] * len(self.names), 0
+        size, total = [0] * len(self.parent), 0
         for x in self.lines:
             if not x.beside:
                 total += len(x.text)
-                for i in x.named:
-                    size[i] += len(x.text)
-        misled = {i for i, n in enumerate(size) if (n == total if self.names[i] else 2 * n > total)}
-        mains, articles = self.holders["main"], self.holders["article"]
-        for names in mains if mains else articles if all(articles) else ():
-            misled |= {i for i in names if not self.names[i]}
+                size[x.named] += len(x.text)
+        for i in range(len(size) - 1, 0, -1):  # what is inside an element is later than it
+            size[self.parent[i]] += size[i]
+        misled = [False] + [n == total if r else 2 * n > total for n, r in zip(size[1:], self.readers[1:], strict=True)]
+        seen, mains, articles = [False] * len(size), self.holders["main"], self.holders["article"]
+        for i in mains if mains else articles if all(articles) else ():
+            while i and not seen[i]:
+                seen[i] = True
+                misled[i] |= not self.readers[i]
+                i = self.parent[i]
+        misled[0] = True
+        for i in range(1, len(size)):
+            misled[i] &= misled[self.parent[i]]
         for x in self.lines:
-            x.beside |= not misled.issuperset(x.named)
+            x.beside |= not misled[x.named]
         return self.lines
 
-    def end(self, tag: str) -> None:
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), -1)
-        if at < 0:
-            if tag not in INLINE:
-                self.flush()
-            return
-        if tag in INLINE and any(x[0] not in INLINE for x in self.open[at + 1 :]):
-            return  # a stray end does not close blocks
-        if tag in INLINE and self.open[at][1::2] == (self.open[at - 1][1::2] if at else (False, ())):
-            del self.open[at:]
-        else:
-            self.pop(at)
-
 
 def is_beside(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element holds something beside the text. An article's own header is part of it."""
@@ -204,7 +251,7 @@ def lines_of(page: str) -> list[Line]:
 def main_text(page: str | None) -> str:
     """The blocks of the main text, in page order, joined by an empty line."""
     lines = lines_of(page or "")
-    length = [0 if x.beside else len(x.text) for x in lines]
+    length = [0 if x.beside or m else len(x.text) for x, m in zip(lines, menus(lines), strict=True)]
     stretches = surges(length)
     if not stretches:
         return ""
@@ -218,6 +265,16 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(lines[i].text for i in kept if length[i])
 
 
+def menus(lines: list[Line]) -> list[bool]:
+    """Flags of the lines in windows of nothing but links: a run of such lines, headings aside, is a
+    menu whatever its element or name. A line alone that is a link belongs to what is around it, and
+    so does any run that holds most of the page's text."""
+    bare = [x.linked and not x.heading and not x.beside for x in lines]
+    out = [x and (i > 0 and bare[i - 1] or i + 1 < len(bare) and bare[i + 1]) for i, x in enumerate(bare)]
+    text = sum(len(x.text) for x in lines if not x.beside)
+    return [False] * len(lines) if 2 * sum(len(x.text) for x, m in zip(lines, out, strict=True) if m) > text else out
+
+
 def surges(length: list[int]) -> list[tuple[int, int]]:
     """Stretches of lines from where the sum over a window surges from 0 to where it dives to 0.
 
@@ -245,7 +302,8 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     A null html counts as empty; a page without text has an empty one. White space inside a block is
     one space, also where a line break stands. Broken and unclosed markup is read as browsers do
-    where blocks follow each other. Rows keep their number; other columns are dropped.
+    where blocks follow each other; pages of any length and depth are read whole, in time that grows with
+    their length. Every row gives one row, repeated ones too; other columns are dropped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
