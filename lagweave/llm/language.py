@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagweave.llm.shared import Words, byte_class, saved, slices
+from lagweave.llm.shared import Words, byte_class, named, saved, slices
 
 BUCKETS = 1 << 15
 #: Words of letters: after lower-casing A-Z, the letters and all bytes of non-ASCII characters.
@@ -166,11 +166,13 @@ def predicted(docs: DataFrame, model: LanguageModel, keep: bool = False) -> Data
     proportions; with keep, all columns of docs follow instead of doc_id alone.
 
     lang_pred is `und`, with score 0, where text is null or has no letter, or nothing was learned.
-    Equal proportions go to the language first by name. Only text is looked at.
+    Equal proportions go to the language first by name. Only text is looked at, whole. Every row gives
+    one row, repeated ones too; no rows give none. Columns may have any names, dots included.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns if keep else ["doc_id"]
-    rows = docs.select(F.col("text").cast("string").alias("__text"), *columns)
+    rows = docs.select(F.col("text").cast("string").alias("__text"), *[named(c).alias(f"__{i}") for i, c in enumerate(columns)])
+    places = rows.columns[1:]
     added = "__lang_pred string, __score double, __languages map<string, double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +187,11 @@ def predicted(docs: DataFrame, model: LanguageModel, keep: bool = False) -> Data
             row, col = np.nonzero(share)
             offsets = np.searchsorted(row, np.arange(len(share) + 1)).astype(np.int32)
             maps = pa.MapArray.from_arrays(pa.array(offsets), pa.array(names[col], pa.string()), pa.array(share[row, col]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names[best], pa.string()), pa.array(np.minimum(score, 1.0)), maps], [*columns, "__lang_pred", "__score", "__languages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names[best], pa.string()), pa.array(np.minimum(score, 1.0)), maps], [*places, "__lang_pred", "__score", "__languages"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]] + [added])
-    return rows.mapInArrow(run, schema)
+    told = rows.mapInArrow(run, schema)
+    return told.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(columns)], "__lang_pred", "__score", "__languages")
 
 
 def held_out(docs: DataFrame) -> DataFrame:

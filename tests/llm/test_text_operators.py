@@ -422,3 +422,47 @@ def test_mixture_equals_plain_em():
     text = np.repeat([0, 1], [15, 25])
     share, _ = language.mixture(like, text, np.ones((2, 3)), 7)
     np.testing.assert_allclose(share, [brute_mixture(like[:15], 7), brute_mixture(like[15:], 7)])
+
+
+# --- op 2: menus without names, depth ---
+
+
+def test_html_menus_without_names():
+    body = "<p>The first paragraph tells what happened on that day.</p><p>The second one goes on.</p>"
+    menu = "<ul><li><a href=/>Home</a></li><li><a href=/about>About</a></li><li><a href=/c>Contact us</a></li></ul>"
+    text = "The first paragraph tells what happened on that day.\n\nThe second one goes on."
+    assert html_text.main_text(menu + body) == html_text.main_text(body + menu) == html_text.main_text(f"<div>{menu}</div><div>{body}</div>") == text
+    assert html_text.main_text(f"<h1><a href=/x>A title</a></h1>{body}") == "A title\n\n" + text
+    linked = html_text.main_text(body + "<p><a href=/more>Only a link here</a></p>" + body)
+    assert linked == text + "\n\nOnly a link here\n\n" + text
+    assert html_text.main_text("<p><a href=1>One story</a></p><p><a href=2>Another story</a></p>") == "One story\n\nAnother story"
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "div class=promo", "a href=x"])
+def test_html_deep_pages(tag):
+    import time
+
+    took = []
+    for n in (25_000, 100_000):
+        began = time.perf_counter()
+        text = html_text.main_text(f"<{tag}>x" * n + f"</{tag.split()[0]}>" * n + "</p></b>" * n)
+        took.append(time.perf_counter() - began)
+        assert text.count("x") == n
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_html_odd_tables(spark):
+    pages = spark.createDataFrame([(1, "u", None, 5), (1, "u", None, 5), (None, None, "<p>a b</p>" * 20_000, 5)], "page_id long, url string, html string, n_chars long")
+    got = sorted((str(r.page_id), r.text.count("a b"), r.n_chars) for r in html_text.extracted(pages).collect())
+    assert got == [("1", 0, 0), ("1", 0, 0), ("None", 20_000, 5 * 20_000 - 2)]
+    assert html_text.extracted(pages.where("false")).count() == 0
+
+
+def test_language_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en", 3, 4), (None, None, None, 3, 4)], "doc_id long, text string, lang string, `a.b` int, held_out int")
+    model = language.fit(docs)
+    told = language.predicted(docs, model, keep=True)
+    assert told.columns[:5] == docs.columns and {(r["a.b"], r["held_out"]) for r in told.collect()} == {(3, 4)}
+    assert language.predicted(docs.where("false"), model).count() == 0
+    cut = substring_dedup.deduplicated(docs.withColumn("n_removed", language.F.lit("x")))
+    assert cut.columns == [*docs.columns, "n_removed"] and {r.n_removed for r in cut.collect()} == {0}
