@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,7 +65,8 @@ SENTENCES = (
     ("cc0", r".*\b(?:cc0|creative commons zero)\b.*"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("public-domain", r"(?:this (?:work|text|article|software) is )?(?:released|placed|dedicated) (?:in|in ?to|to) the public domain"),
-    ("rights-reserved", r"(?:.*\bcopyright\b.* )?all rights reserved"),
+    ("rights-reserved", r"all rights reserved"),
+    ("rights-reserved", r".*\bcopyright\b.* all rights reserved"),
     ("copyright", r"(?:copyright|©) .*\b(?:19|20)\d\d\b.*"),
     ("spdx", r"spdx license identifier (.+)"),
 )
@@ -89,24 +91,49 @@ RULES = (
 CUE = re.compile("licens|licenc|copyright|©|permi|redistribut|warrant|liable|software|advertising materials|neither the name|gnu |mozilla|mpl|eclipse|cc by|cc-by|cc0|creative commons|public domain|rights reserved|spdx")
 #: Where a sentence ends; "v. 2.0" does not end one.
 END = re.compile(r"(?<!\bv)(?<!\bV)[.!?]+[\"'”’)\]]*(?:\s+|$)")
-#: Where a part of a sentence ends: notices often stand on lines or before semicolons without a full stop.
-PART = re.compile(r"\n|;+[\"'”’)\]]*(?:\s+|$)")
+#: Where a part of a sentence ends: notices often stand on lines, or before semicolons or colons, without a full stop.
+PART = re.compile(r"\n|[;:]+[\"'”’)\]]*(?:\s+|$)")
 JUNK = re.compile(r"[^\w©]+|_+")
 SPDX = re.compile(r"spdx-license-identifier\W*?:\s*(\S+)", re.I)
 
 
-def searched(pattern: str) -> re.Pattern:
-    """Finds what the pattern needs in parts joined by line breaks, from where a part begins to where one ends."""
-    start, end = r"(?:(?<=\n)|\A)", r"(?=\n|\Z)"
-    if pattern.startswith(r".*\b"):
-        pattern, start = pattern[2:], ""
-    if pattern.endswith(".*"):
-        pattern, end = pattern[:-2], ""
-    inside = pattern.replace(".*", ".*?").replace(".+", ".+?").replace(" ", r"[ \n]")
-    return re.compile(f"{start}(?:{inside}){end}", re.S)
-
-
-KNOWN = tuple((name, searched(pattern)) for name, pattern in SENTENCES)
+@dataclass(frozen=True)
+class Known:
+    """A known sentence: what must follow each other in it, with anything between."""
+
+    name: str
+    pieces: tuple[re.Pattern, ...]
+
+    @classmethod
+    def of(cls, name: str, pattern: str) -> Known:
+        """From a pattern over a whole sentence. It is looked for in parts joined by line breaks, from
+        where a part begins to where one ends."""
+        start, end = r"(?:(?<=\n)|\A)", r"(?=\n|\Z)"
+        if pattern.startswith(r".*\b"):
+            pattern, start = pattern[2:], ""
+        if pattern.endswith(".*"):
+            pattern, end = pattern[:-2], ""
+        pieces = [x.replace(".+", ".+?").replace(" ", r"[ \n]") for x in pattern.split(".*")]
+        pieces[0], pieces[-1] = start + f"(?:{pieces[0]})", f"(?:{pieces[-1]})" + end if len(pieces) > 1 else start + f"(?:{pieces[-1]})" + end
+        return cls(name, tuple(re.compile(x, re.S) for x in pieces))
+
+    def found(self, plain: str) -> Iterator[tuple[int, int, list[str]]]:
+        """(start, end, groups) of the places that do not overlap. Each piece is looked for from the end
+        of the one before; where one is missing none can follow, so the time is that of one scan."""
+        at = 0
+        while m := self.pieces[0].search(plain, at):
+            start, at, groups = m.start(), m.end(), list(m.groups())
+            for piece in self.pieces[1:]:
+                m = piece.search(plain, at)
+                if not m:
+                    return
+                at = m.end()
+                groups += m.groups()
+            yield start, at, groups
+            at = max(at, start + 1)
+
+
+KNOWN = tuple(Known.of(name, pattern) for name, pattern in SENTENCES)
 
 
 def normalised(sentence: str) -> str:
@@ -142,16 +169,16 @@ def identified(sentence: str) -> list[tuple[str, str]]:
     """Of the known sentences found, those in most runs of parts that do not overlap; of as many, the longer ones."""
     plain = "\n".join(x for x in map(normalised, PART.split(sentence)) if x)
     runs: dict[tuple[int, int], tuple[int, tuple[str, str]]] = {}  # the first of SENTENCES in each run
-    for name, pattern in KNOWN:
-        for i, m in enumerate(pattern.finditer(plain)):
-            first = plain.rfind("\n", 0, m.start()) + 1
-            last = plain.find("\n", max(m.end() - 1, m.start()))
+    for known in KNOWN:
+        for i, (start, end, groups) in enumerate(known.found(plain)):
+            name, first = known.name, plain.rfind("\n", 0, start) + 1
+            last = plain.find("\n", max(end - 1, start))
             if name == "spdx":
                 named = SPDX.findall(sentence)
                 extra = named[i].rstrip(".") if i < len(named) else ""
             else:
-                extra = ".".join(g for g in m.groups() if g)
-            runs.setdefault((first, last if last >= 0 else len(plain)), (m.end() - m.start(), (name, extra)))
+                extra = ".".join(g for g in groups if g)
+            runs.setdefault((first, last if last >= 0 else len(plain)), (end - start, (name, extra)))
     ends: list[int] = []
     best: list[tuple[int, int, tuple]] = []  # number, length and chain of what is chosen up to each end
     for (first, last), (size, what) in sorted(runs.items(), key=lambda x: (x[0][1], x[0][0])):
@@ -182,8 +209,9 @@ def licences(ids: list[tuple[str, str]]) -> list[str]:
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids and licences (arrays, in order of the text) and n_licences (distinct).
 
-    A null or empty text has empty arrays. Every row of docs gives one row; repeated rows are alike.
-    Other columns are dropped.
+    A null or empty text has empty arrays. Every row of docs gives one row; repeated rows are alike, and
+    no rows give none. Texts and sentences of any length are read whole, in time that grows with their
+    length. Other columns are dropped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -466,3 +466,38 @@ def test_language_columns_of_any_name(spark):
     assert language.predicted(docs.where("false"), model).count() == 0
     cut = substring_dedup.deduplicated(docs.withColumn("n_removed", language.F.lit("x")))
     assert cut.columns == [*docs.columns, "n_removed"] and {r.n_removed for r in cut.collect()} == {0}
+
+
+# --- op 6: comments, one line, long sentences ---
+
+#: Fixed value: the public licence text.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// ", "-- "])
+def test_licences_in_comments(mark):
+    import textwrap
+
+    for width in (25, 40, 72, 100):
+        lines = "\n\n".join(textwrap.fill(x, width) for x in MIT.split("\n\n")).split("\n")
+        assert licence_scan.licences(licence_scan.identifiers("\n".join(mark + x for x in lines))) == ["MIT"]
+    assert licence_scan.licences(licence_scan.identifiers(mark + " ".join(MIT.split()))) == ["MIT"]
+
+
+def test_licence_time_follows_length(spark):
+    import time
+
+    for text in ("gnu general public license ", "licensed under the mit license ; ", "copyright "):
+        took = []
+        for n in (2_000, 16_000):
+            began = time.perf_counter()
+            licence_scan.identifiers(text * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 20 * took[0] + 0.5, (text, took)
+    docs = spark.createDataFrame([(1, None, 1), (1, None, 1), (2, MIT, 1), (2, MIT, 1)], "doc_id long, text string, licences int")
+    assert sorted((r.doc_id, tuple(r.licences)) for r in licence_scan.scanned(docs).collect()) == [(1, ())] * 2 + [(2, ("MIT",))] * 2
+    assert licence_scan.scanned(docs.where("false")).count() == 0
