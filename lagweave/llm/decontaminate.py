@@ -121,14 +121,14 @@ def isin_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 def parts(benchmark: DataFrame, part_bytes: int) -> Iterator[tuple[list[str], list[str]]]:
     """The benchmark's items, a bounded number of bytes at a time (an item is never cut)."""
     ids, texts, size = [], [], 0
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    for i, text in rows.toLocalIterator():
-        if ids and size + len(text) > part_bytes:
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("string"), F.octet_length(F.col("text").cast("string")))
+    for i, text, n in rows.toLocalIterator():
+        if ids and size + n > part_bytes:
             yield ids, texts
             ids, texts, size = [], [], 0
         ids.append(i)
         texts.append(text)
-        size += len(text)
+        size += n
     if ids:
         yield ids, texts
 
