@@ -194,7 +194,8 @@ def joined(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     known = some.join(lists.select("node").distinct(), "node").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     groups = resolve(lists, saved(known, "sketches"), lambda wanted: sets_of(rows, some, wanted, words), percent)
     told = some.drop("keys", "sketch").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = told.groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    told = told.join(lowest, "component").select("doc_id", "n", "lowest", "text_hash", "node", "component")
+    # A written table, so that rows of a large component can be dealt to several tasks.
+    lowest = saved(told.groupBy("component").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "lowest")
+    told = told.join(lowest, "component", "left").select("doc_id", "n", F.coalesce("lowest", "doc_id").alias("lowest"), "text_hash", "node", "component")
     alone = table.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("lowest"), "text_hash", "node", F.col("node").alias("component"))
     return told.union(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("lowest").alias("component_id"), "text_hash", F.col("node").alias("class_id"), F.col("component").alias("group_id"))

@@ -189,12 +189,13 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, least: in
     groups = resolve(lists, known, lambda wanted: paragraph_sets(rows, homes, wanted, shingle, max(least, shingle)), percent)
     document = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     lines = line().select(document.alias("d"), "x.node").join(groups, "node", "left").select("d", "node", F.coalesce("component", "node").alias("class"))
-    lost = lines.join(keepers(lines.select("d", "class")), "class").where("d <> keeper").select("d", "node", F.lit(None).cast("binary").alias("around"))
+    # Keepers are written tables, so that rows of a frequent class can be dealt to several tasks.
+    lost = lines.join(saved(keepers(lines.select("d", "class")), "keepers"), "class").where("d <> keeper").select("d", "node", F.lit(None).cast("binary").alias("around"))
     # Fingerprints of verbatim passages, likewise.
     prints = table.select(mark().alias("who"), F.explode("prints").alias("class"))
     prints = prints.groupBy("class").agg(F.min("who").alias("lo"), F.max("who").alias("hi")).where("lo < hi").select("class")
     found = saved(shared_prints(rows, saved(prints, "prints"), k, window), "passages").select(document.alias("d"), "class", "around")
-    first = keepers(found.select("d", "class", "around"), "around")
+    first = saved(keepers(found.select("d", "class", "around"), "around"), "keepers")
     lost = lost.union(found.select("d", "class").join(first, "class").where("d <> keeper").select("d", F.col("class").alias("node"), "around"))
     lost = lost.groupBy("d").agg(F.collect_list(F.struct("node", "around")).alias("pieces")).select("d.doc_id", "d.text_hash", "pieces")
     return cut(docs, saved(lost.withColumn("mark", mark()), "lost"), least)
