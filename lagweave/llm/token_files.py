@@ -189,7 +189,7 @@ class Encoder:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
         pre = str(self.library.pre_tokenizer)
         self.splits = pre.startswith("ByteLevel(") and "add_prefix_space=False" in pre and "use_regex=True" in pre and self.library.normalizer is None
-        self.store = WordStore(self.asked)
+        self.store = WordStore(self.asked, 1_200_000)
 
     def asked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts as the library gives them, flat, and their numbers."""
