@@ -55,6 +55,8 @@ CLOSES = {
 }
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: A slash that ends a value without quotes closes nothing.
+VALUE_END = re.compile(r"=\s*[^\s\"'=<>`]*/$")
 SENTENCE = re.compile(r"[.!?…。！？｡．।॥؟۔։።᙮။។][\"'”’»)\]」』】）》]*$")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -154,7 +156,7 @@ class Reader:
             if not article:
                 self.articles += 1
                 article = self.articles
-        if tag not in VOID and not attributes.endswith("/"):
+        if tag not in VOID and not (attributes.endswith("/") and not VALUE_END.search(attributes)):
             self.push(Element(tag, beside, article, names))
 
     def end(self, tag: str) -> None:

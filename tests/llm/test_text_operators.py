@@ -447,7 +447,7 @@ def test_html_deep_pages(tag):
         began = time.perf_counter()
         text = html_text.main_text(f"<{tag}>x" * n + f"</{tag.split()[0]}>" * n + "</p></b>" * n)
         took.append(time.perf_counter() - began)
-        assert text.count("x") == n
+        assert text.count("x") == (n if "class" not in tag else n // 2)  # what holds most of the text is no advert
     assert took[1] < 12 * took[0] + 1
 
 
