@@ -175,6 +175,21 @@ def test_decontaminate(spark):
     assert decontaminate.cleaned(docs, bench.where("false")).count() == docs.count()
 
 
+def test_decontaminate_by_joins(spark):
+    """A large benchmark is met by joins: copies, repeated rows, odd columns, and items that share windows."""
+    passage = " ".join(f"w{i}" for i in range(30))
+    texts = [f"before {passage} after", f"{passage} {passage}", "w1 w2 w3 w4 w5 w6 w7", "short one", "", None, "clean text of no item at all, none"]
+    rows = [(i, texts[i % len(texts)], i, "x", True) for i in range(400)] + [(None, texts[0], 1, "x", True), (0, texts[0], 0, "x", True), (0, texts[0], 0, "x", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, hits string, spans boolean")
+    bench = spark.createDataFrame([(str(i), f"item {i} has {passage}") for i in range(60)] + [("s", "short one"), ("s", "short one"), ("n", None), (None, passage), ("e", ". ,")], "item_id string, text string")
+    whole, cut = (sorted(map(str, decontaminate.marked(docs, bench, part_bytes=size, keep=True).collect())) for size in (1 << 24, 0))
+    assert whole == cut and len(cut) == len(rows)
+    digests = {r.doc_id: r for r in decontaminate.digest(decontaminate.marked(docs, bench, part_bytes=0)).collect()}
+    assert [(digests[i].n_words, digests[i].n_hit, digests[i].n_items) for i in range(7)] == [(32, 30, 60), (60, 60, 60), (7, 0, 0), (2, 2, 1), (0, 0, 0), (0, 0, 0), (8, 0, 0)]
+    assert decontaminate.marked(docs.where("false"), bench, part_bytes=0).count() == 0
+    assert decontaminate.marked(docs, bench.where("false"), part_bytes=-1).count() == len(rows)
+
+
 # --- op 5 ---
 
 
