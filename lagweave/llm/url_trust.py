@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagweave.llm.shared import saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MOST_RULES = 10_000
+#: Rules that are part of the plan; more are looked up.
+RULES_IN_PLAN = 200
+KNOWN = "struct<rule: string, verdict: string>"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
@@ -48,13 +51,22 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-def fitting(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """The longest rule that fits (of equal ones the first by text, block before allow): a struct or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")  # they are part of the plan
-    ordered = sorted(set(rules), key=lambda r: (-len(r.text), r.text, r.verdict != "block"))
+def fitting(spark: SparkSession, host: Column, path: Column, rules: list[Rule]) -> Column:
+    """The longest rule that fits (of equal ones the first by text, block before allow): a struct, without rule if none fits.
+
+    Few rules are one expression. More are sent to the executors, as they come from the driver in
+    any case, and each page's host and the domains above it are looked up.
+    """
+    ordered = sorted(set(rules), key=rank)
     if not ordered:
-        return F.lit(None).cast("struct<rule: string, verdict: string>")
+        return F.lit(None).cast(KNOWN)
+    if len(ordered) > RULES_IN_PLAN:
+        table = spark.sparkContext.broadcast(RuleTable(ordered))
+
+        def known(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
+            return table.value.known(hosts, paths)
+
+        return F.pandas_udf(known, KNOWN)(host, path)
     out = None
     for r in ordered:
         fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
@@ -63,6 +75,34 @@ def fitting(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def rank(rule: Rule) -> tuple[int, str, bool]:
+    return -len(rule.text), rule.text, rule.verdict != "block"
+
+
+class RuleTable:
+    """Rules by host and path, and the lengths of each host's paths."""
+
+    def __init__(self, ordered: list[Rule]):
+        self.rules: dict[str, dict[str, Rule]] = {}
+        for r in ordered:
+            self.rules.setdefault(r.host, {}).setdefault(r.path, r)
+        self.lengths = {host: sorted({len(p) for p in paths}, reverse=True) for host, paths in self.rules.items()}
+
+    def longest(self, host: str, path: str) -> Rule | None:
+        fits, domain = [], host
+        while domain:
+            for n in self.lengths.get(domain, ()):
+                if n <= len(path) and (rule := self.rules[domain].get(path[:n])):
+                    fits.append(rule)
+                    break
+            domain = domain.partition(".")[2]
+        return min(fits, key=rank, default=None)
+
+    def known(self, hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
+        found = [self.longest(h, p) for h, p in zip(hosts, paths, strict=True)]
+        return pd.DataFrame({"rule": [r and r.text for r in found], "verdict": [r and r.verdict for r in found]}, dtype=object)
+
+
 def host_links(pages: DataFrame) -> DataFrame:
     """(a, b, n): links in html from host a to another host b. Relative links stay on their host."""
     target = F.regexp_extract(F.col("link"), "//([^/?#]*)", 1)
@@ -94,9 +134,9 @@ def judged(pages: DataFrame, rules: list[Rule], damping: float = 0.85, rounds: i
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "html", host.alias("host"), path.alias("path"))
-    known = fitting(F.col("host"), F.col("path"), rules)
+    known = fitting(pages.sparkSession, F.col("host"), F.col("path"), rules)
     ruled = rows.withColumn("known", known)
-    votes = ruled.where("host <> '' and known is not null").groupBy("host").agg(
+    votes = ruled.where("host <> '' and known.rule is not null").groupBy("host").agg(
         F.sum(F.when(F.col("known.verdict") == "allow", 1).otherwise(-1)).alias("vote"))
     votes = saved(votes, "votes")
     edges = saved(host_links(rows), "links")

@@ -105,6 +105,23 @@ def test_urls(spark):
     assert url_trust.judged(pages, rules).count() == len(rows) and url_trust.judged(pages.where("false"), rules).count() == 0
 
 
+def test_many_rules_equal_few(spark, monkeypatch):
+    """Rules that are looked up judge as rules of the plan do: domains, ports, paths, ties and strangers."""
+    rng = np.random.default_rng(8)
+    hosts = ["com", "a.com", "b.a.com", "net", "x.net:80", "a", "\u00e9.com", "nota.com"]
+    paths = ["", "/", "/p", "/p/", "/p/q", "/p/q/r\u00fc", "/z"]
+    rules = [url_trust.Rule(("allow", "block")[rng.integers(2)], hosts[rng.integers(6)], paths[rng.integers(6)]) for _ in range(30)]
+    rules += [url_trust.Rule(v, "net", "/p") for v in ("allow", "block")]
+    pages = [(i, f"http://{'y.' * (i % 2)}{h}{p}?q#f", None, 1) for i, (h, p) in enumerate((h, p) for h in hosts for p in paths for _ in range(2))] + [(None, None, "", 1), (3, "none", "", 1), (3, "none", "", 1)]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string, rule int")
+    few = sorted(map(str, url_trust.judged(pages, rules).collect()))
+    monkeypatch.setattr(url_trust, "RULES_IN_PLAN", 0)
+    assert sorted(map(str, url_trust.judged(pages, rules).collect())) == few
+    many = [url_trust.Rule("block", f"h{i}.org", "/") for i in range(12_000)]
+    got = {r.page_id: r.rule for r in url_trust.judged(spark.createDataFrame([(1, "x://s.h77.org/", None), (2, "x://h77.org", None)], "page_id long, url string, html string"), many).collect()}
+    assert got == {1: "h77.org/", 2: None}
+
+
 def test_spread_equals_plain_iteration(spark):
     rng = np.random.default_rng(2)
     edges = {(f"h{a}", f"h{b}"): float(rng.integers(1, 5)) for a, b in rng.integers(0, 12, (40, 2)) if a != b}
