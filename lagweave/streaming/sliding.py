@@ -23,8 +23,8 @@ STATE = "t array<long>, value array<double>"
 
 def sliding_trend(stream: DataFrame, window: int, rank: int, keep: int) -> DataFrame:
     """(series_id, t, trend, forecast) once per series and micro-batch: the smoothed latest value and
-    the next one. Series with fewer than 2 * window values wait; holes between values are gaps and
-    get no forecast."""
+    the next one. Series that span fewer than 2 * window places wait; holes between values are gaps,
+    however long, and get no forecast."""
     if keep < 2 * window:
         raise ValueError("keep at least two windows")
 
@@ -36,9 +36,11 @@ def sliding_trend(stream: DataFrame, window: int, rank: int, keep: int) -> DataF
                 values.setdefault(int(t), float("nan") if v is None else float(v))
         last = sorted(values)[-keep:]
         state.update((last, [values[t] for t in last]))
-        x = np.full(last[-1] - last[0] + 1, np.nan)
-        x[np.array(last) - last[0]] = [values[t] for t in last]
-        if len(x) < 2 * window or len(x) > 8 * keep:
+        # A hole of a window or more has no complete window in it, however long: so much is kept of it.
+        at = np.concatenate([[0], np.cumsum(np.minimum(np.diff(last), window))])
+        x = np.full(at[-1] + 1, np.nan)
+        x[at] = [values[t] for t in last]
+        if len(x) < 2 * window:
             return
         try:
             fit = D.basic(Trajectory([Block(x, np.ones(window, bool), (False,))]), rank)

@@ -92,6 +92,18 @@ def test_stream(spark, tmp_path):
     assert r.t == 80 and abs(r.forecast - (np.exp(0.005 * 81) + np.sin(2 * np.pi * 81 / 7))) < 1e-6
 
 
+def test_stream_with_a_long_hole(spark, tmp_path):
+    t = [*range(1, 41), *range(10**12, 10**12 + 50)]
+    rows = [("s", i, 2 + float(np.sin(2 * np.pi * (i % 7) / 7))) for i in t]
+    spark.createDataFrame(rows, "series_id string, t long, value double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("series_id string, t long, value double").parquet(str(tmp_path / "in"))
+    q = sliding_trend(stream, 15, 3, 90).writeStream.format("memory").queryName("holes").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    r = spark.table("holes").collect()[-1]
+    assert r.t == t[-1] and r.trend == pytest.approx(rows[-1][2], abs=1e-8) and (r.forecast is None or np.isnan(r.forecast))
+
+
 def noisy(n=120, seed=3):
     r = np.random.default_rng(seed)
     t = np.arange(1, n + 1)
