@@ -14,7 +14,6 @@ are frequent are dealt over several tasks.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -268,16 +267,10 @@ def flagged(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 def digest(rows: DataFrame, least_items: int = 2) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of what marked() returns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            items = batch.column(3).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x.count(1) for x in batch.column(2).to_pylist()], pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([len(x) >= least_items for x in items])],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return rows.select("doc_id", "n_words", "hits", "items").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    n_items = F.size("items")
+    n_hit = F.length(F.translate(F.col("hits").cast("string"), "\0", ""))
+    return rows.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), n_items.cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_items >= least_items).alias("contaminated"))
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items: int = 2) -> DataFrame:
@@ -285,14 +278,5 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_items:
     least_items items or more go, and those in which `window` words in a row are hit. What is as
     short as to occur by chance, single windows of shorter items, lets a document stay."""
     rows = marked(docs, benchmark, window, keep=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            span = b"\x01" * window
-            hits, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            free = [span not in h and len(x) < least_items for h, x in zip(hits, items, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[5:], batch.schema.names[5:]).filter(pa.array(free, pa.bool_()))
-
-    names = docs.columns
-    kinds = [f.dataType.simpleString() for f in docs.schema]
-    return rows.mapInArrow(run, ", ".join(f"__{i} {k}" for i, k in enumerate(kinds))).select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(names)])
+    span = F.contains("hits", F.lit(b"\x01" * window))
+    return rows.where(~span & (F.size("items") < least_items)).select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
