@@ -13,8 +13,8 @@ have sizes s <= t <= 100 s / p, and share a subset of ceil(p (s + t) / (100 + p)
   than its list entries, each of which counts SCAN_COST times. Sets near it are entered in both.
 
 Any order gives the same result; its cost alone rests on which items count as frequent. These are
-told from the sets of one text hash in SHARE, and a bitmap of bounded size keeps them. Candidates are
-resolved exactly in `similar.py`; equal sets are one node from the start.
+counted over all texts, and a bitmap of bounded size keeps them. Candidates are resolved exactly in
+`similar.py`; equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -34,8 +34,10 @@ from lagweave.llm.shared import U64, Sieve, binary_array, list_array, mix, saved
 from lagweave.llm.similar import resolve, sketches
 
 SCAN_COST = 4
-#: Items are frequent that OFTEN sets have, of those of one text hash in SHARE; MOST of them are kept.
-SHARE, OFTEN, MOST = 16, 3, 1 << 23
+#: Items are frequent that OFTEN texts have; MOST of them are kept.
+OFTEN, MOST = 48, 1 << 23
+#: Items that a worker sums up at once, and bytes of text for each bucket of items.
+HELD, BUCKET_BYTES = 1 << 19, 1 << 22
 
 
 def smallest_partner(s: int, percent: int) -> int:
@@ -97,16 +99,53 @@ def set_keys(values: np.ndarray, offsets: np.ndarray, percent: int, often: np.nd
     return keys[order], np.searchsorted(owners[order], np.arange(len(sizes) + 1))
 
 
-def frequent(rows: DataFrame, words: int) -> Sieve:
-    """A sieve of frequent items. Each of the texts looked at counts once, however many copies it has."""
+def counted(rows: DataFrame, words: int) -> DataFrame:
+    """A written table (item, n): items that OFTEN texts or more have, and how many have them.
+
+    All texts are counted, one row of each; a sieve tells that row, which lets a few copies by besides.
+    Workers sum up what they have read and deal it out by buckets, which grow in number with the texts.
+    An item is known by its bucket and its lower 32 bits.
+    """
+    mark = F.xxhash64("doc_id", "text_hash")
+    once = rows.select("text_hash", mark.alias("mark"), F.octet_length("text").cast("long").alias("size"))
+    once = saved(once.groupBy("text_hash").agg(F.min("mark").alias("mark"), F.max("size").alias("size")), "once")
+    sieve = Sieve(once, "mark")
+    buckets = 1 << max(6, (once.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES).bit_length()
+
+    def summed(sets: list[np.ndarray]) -> pa.RecordBatch:
+        values = np.concatenate(sets)
+        values, n = np.unique((values >> U64(32) & U64(buckets - 1)) << U64(32) | values & U64(0xFFFFFFFF), return_counts=True)
+        number, first = np.unique(values >> U64(32), return_index=True)
+        at = np.append(first, len(values)) * 4
+        return pa.RecordBatch.from_arrays([pa.array(number.view(np.int64)), binary_array(values.astype(np.uint32), at), binary_array(n.astype(np.uint32), at)], ["bucket", "items", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_pydict({"item": shingle_sets(batch.column(0), words)[0].view(np.int64)})
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for part in slices(iter([batch.filter(pa.array(sieve(batch.column(0).to_numpy())))])):
+                held.append(shingle_sets(part.column(1), words)[0])
+                if sum(map(len, held)) >= HELD:
+                    yield summed(held)
+                    held = []
+        if held:
+            yield summed(held)
+
+    def total(part: pa.Table) -> pa.Table:
+        items, n = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32) for c in (1, 2))
+        order = np.argsort(items)
+        items = items[order]
+        first = np.flatnonzero(np.append(True, items[1:] != items[:-1]))
+        n = np.add.reduceat(n[order].astype(np.int64), first)
+        often = n >= OFTEN
+        return pa.table({"item": items[first[often]].astype(np.int64) | part.column(0)[0].as_py() << 32, "n": n[often]})
+
+    parts = rows.select(mark.alias("mark"), "text").mapInArrow(run, "bucket long, items binary, counts binary")
+    return saved(parts.groupBy("bucket").applyInArrow(total, "item long, n long"), "frequent")
 
-    some = rows.where(F.pmod("text_hash", F.lit(SHARE)) == 0).groupBy("text_hash").agg(F.first("text").alias("text"))
-    items = saved(some.select("text").mapInArrow(run, "item long").groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN), "frequent")
-    least = OFTEN
+
+def frequent(rows: DataFrame, words: int) -> Sieve:
+    """A sieve of frequent items; of more than MOST, those that most texts have."""
+    items, least = counted(rows, words), OFTEN
     while items.where(F.col("n") >= least).count() > MOST:
         least *= 2
     return Sieve(items.where(F.col("n") >= least), "item")

@@ -232,6 +232,18 @@ def test_jaccard_join(spark, k, percent):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_components(rows, k, percent)))
 
 
+def test_frequent_items_are_counted_over_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HELD", 1000, raising=False)
+    monkeypatch.setattr(jaccard_join, "BUCKET_BYTES", 64, raising=False)
+    rows = [(i, f"in nearly all of them n{i} m{i} o{i}") for i in range(1200)] + [(2000 + i, "one text in many copies") for i in range(300)]
+    docs = frame(spark, rows).selectExpr("doc_id", "xxhash64(text) AS text_hash", "text")
+    docs = docs.where("pmod(text_hash, 16) <> 0 or doc_id >= 2000")  # no text that one in 16 would show
+    n = docs.where("doc_id < 2000").count()
+    items = jaccard_join.shingle_sets(pa.array(["in nearly all of them", "one text in many copies"]), 3)[0]
+    often = jaccard_join.frequent(docs, 3)(items)
+    assert often.sum() == 3 and sorted(r.n for r in jaccard_join.counted(docs, 3).collect()) == [n] * 3
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_similar_sets_share_a_key(percent):
     rng = np.random.default_rng(5)
