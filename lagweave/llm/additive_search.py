@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from lagweave.llm.shared import saved
 
 INDEX_ROWS, QUERY_ROWS, STEP = 4096, 1024, 128
+#: Candidates that a task of the last step ranks, about.
+RESULT_ROWS = 1 << 18
 
 
 @dataclass
@@ -75,9 +77,14 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0))
 
 
-def blocks(rows: DataFrame, size: int, models: dict[int, Codebooks] | None) -> DataFrame:
+def blocks(rows: DataFrame, size: int, models: dict[int, Codebooks] | None, least: int = 1) -> DataFrame:
     """A written table of blocks of vectors of one length: id, d, n, ids (ascending), vectors (float64),
-    and with models codes and norms."""
+    and with models codes and norms.
+
+    The rows are dealt anew, to `least` tasks or as many as make about one full block each: pairs of
+    blocks and files would otherwise grow with the partitions of the input.
+    """
+    rows = rows.repartition(max(least, ceil(1.1 * rows.count() / size), 1))
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +194,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     if not models:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = asked.where(F.size("embedding").isin(list(models)))
-    index, wanted = blocks(rows, INDEX_ROWS, models), blocks(asked, QUERY_ROWS, None)
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    index, wanted = blocks(rows, INDEX_ROWS, models, tasks), blocks(asked, QUERY_ROWS, None)
     shared = vectors.sparkSession.sparkContext.broadcast(models)
-    tiles = tiles or max(24, 2 * vectors.sparkSession.sparkContext.defaultParallelism)
+    tiles = tiles or max(24, tasks)
     left = wanted.select("d", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("tile"))
-    pairs = index.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles))).hint("shuffle_hash").join(left, ["d", "tile"]).select("d", "q_ids", "q", "ids", "vectors", "codes", "norms")
+    pairs = index.withColumn("tile", F.pmod(F.shiftright("id", 40) + F.col("id").bitwiseAND(F.lit((1 << 40) - 1)), F.lit(tiles))).hint("shuffle_hash").join(left, ["d", "tile"]).select("d", "q_ids", "q", "ids", "vectors", "codes", "norms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
@@ -206,4 +214,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    candidates = k * index.count() * (wanted.agg(F.sum("n")).first()[0] or 0)
+    return best.coalesce(max(tasks, candidates // RESULT_ROWS))

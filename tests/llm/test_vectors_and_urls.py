@@ -54,6 +54,16 @@ def test_search_keeps_lengths_apart(spark):
     assert got == sorted(brute(short, {i for i, _ in short}, 5) + brute(long, {i for i, _ in long}, 5))
 
 
+def test_search_blocks_do_not_follow_partitions(spark):
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    parted = v.repartition(90)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    rows = additive_search.usable(parted)
+    assert additive_search.blocks(rows, 1024, None).count() == 1 and additive_search.blocks(rows, 1024, None, tasks).count() == tasks
+    got = [additive_search.nearest(x, x.where("vec_id % 20 = 0")) for x in (v, parted)]
+    assert got[0].rdd.getNumPartitions() <= tasks and sorted(map(tuple, got[0].collect())) == sorted(map(tuple, got[1].collect()))
+
+
 def test_search_counts_ids_not_rows():
     r = np.random.default_rng(3)
     own = r.normal(size=(60, 8))
