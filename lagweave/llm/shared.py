@@ -6,9 +6,11 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Has executors collect their garbage: a heap that a step has filled shrinks before the next one,
+    and buffers outside the heap go. Where reflection is forbidden, all stays as it is."""
+    n = spark.sparkContext.defaultParallelism
+    with suppress(PySparkException):
+        spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
+
+
 # --- hashing --------------------------------------------------------------------------------
 
 GOLDEN = 0x9E3779B97F4A7C15

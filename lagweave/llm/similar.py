@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.shared import U64, binary_array, components, ragged, saved
+from lagweave.llm.shared import U64, binary_array, components, ragged, saved, swept
 
 LEFT, RIGHT = 256, 1024
 #: Pairs looked at once, and 64-bit words of their sketches.
@@ -220,6 +220,7 @@ def resolve(lists: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], D
     lists: (key long, node long), distinct; known: (node, n items, sketch) of these nodes. Both
     written tables. sets_of: gives (node, items binary) of a written table (node) as a written table.
     """
+    swept(lists.sparkSession)
     pivot = lists.groupBy("key").agg(F.min("node").alias("a"))
     pairs = lists.join(pivot, "key").where("node > a").select("a", F.col("node").alias("b")).distinct()
     pairs = saved(plausible_pairs(pairs, known, percent), "pairs")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagweave.llm.jaccard_join import listed
-from lagweave.llm.shared import MASK, NOT_SPACE, U64, Sieve, Words, binary_array, distinct_per_text, gram_hashes, list_array, mix, named, parted, range_hashes, saved, slices
+from lagweave.llm.shared import MASK, NOT_SPACE, U64, Sieve, Words, binary_array, distinct_per_text, gram_hashes, list_array, mix, named, parted, range_hashes, saved, slices, swept
 from lagweave.llm.similar import resolve, sketches
 
 ROWS, GAP = 3, 10
@@ -192,6 +192,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, least: in
     # Keepers are written tables, so that rows of a frequent class can be dealt to several tasks.
     lost = lines.join(saved(keepers(lines.select("d", "class")), "keepers"), "class").where("d <> keeper").select("d", "node", F.lit(None).cast("binary").alias("around"))
     # Fingerprints of verbatim passages, likewise.
+    swept(docs.sparkSession)
     prints = table.select(mark().alias("who"), F.explode("prints").alias("class"))
     prints = prints.groupBy("class").agg(F.min("who").alias("lo"), F.max("who").alias("hi")).where("lo < hi").select("class")
     found = saved(shared_prints(rows, saved(prints, "prints"), k, window), "passages").select(document.alias("d"), "class", "around")

@@ -6,7 +6,7 @@ import pyarrow.parquet
 import pytest
 
 import corpus_pipeline
-from lagweave.llm import additive_search, url_trust
+from lagweave.llm import additive_search, shared, url_trust
 from lagweave.llm.queries import ORACLE_SQL, QUERIES, URL_RULES
 from lagweave.llm.shared import saved
 from test_text_operators import brute_components, words4
@@ -153,6 +153,21 @@ def test_spread_equals_plain_iteration(spark):
         assert abs(got[h] - s) < 1e-12
 
 
+def test_stages_begin_with_a_swept_heap(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory
+    calls = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = calls()
+    shared.swept(spark)
+    assert calls() > before
+    seen = []
+    monkeypatch.setattr(corpus_pipeline, "swept", seen.append)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(5)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF)
+        assert seen, name
+        seen.clear()
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, kept = docs.columns, [docs.count()]
